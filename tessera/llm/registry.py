@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, tokens
+from tessera.llm import language, packing, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": tokens.op1_token_output,
+        "op2_language_id": language.op2_language_id,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
     }
 

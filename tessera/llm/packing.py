@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import id_and_text
-from tessera.llm.tokens import END_ID, FILE_OPTIONS, VOCABULARY, list_column, packed, with_crc
+from tessera.llm.tokens import END_ID, FILE_OPTIONS, VOCABULARY, encoded, with_crc
 from tessera.session import scratch_path
 
 CAPACITY = 2048
@@ -137,17 +137,14 @@ def write_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def rows(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch, ids in packed(batches, vocabulary, end_id):
-            doc, piece, start, cut = [], [], [], []
-            for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                n = len(x) // 4
-                first = (n - 1) % capacity + 1
-                for k, a in enumerate([0, *range(first, n, capacity)]):
-                    doc.append(doc_id)
-                    piece.append(k)
-                    start.append(a)
-                    cut.append(x[4 * a : 4 * (first if not k else a + capacity)])
-            length = np.array([len(x) // 4 for x in cut], np.int64)
+        for batch, ids, at in encoded(batches, vocabulary, end_id):
+            n = np.diff(at)
+            first = (n - 1) % capacity + 1
+            pieces = (n - first) // capacity + 1
+            doc = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[doc])
             order = np.argsort(length, kind="stable")
             ordered = length[order]
             heads = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1]) if len(ordered) else np.array([], np.int64)
@@ -155,7 +152,9 @@ def write_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             rank = np.empty(len(length), np.int64)
             rank[order] = seen[ordered] + np.arange(len(ordered)) - np.repeat(heads, sizes)
             seen[ordered[heads]] += sizes
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(np.full(len(length), part, "i4")), pa.array(rank), list_column(cut)], names=PIECE_SCHEMA.names)
+            # Pieces follow each other as their documents' ids do.
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype("i4")), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array(np.full(len(length), part, "i4")), pa.array(rank), lists], names=PIECE_SCHEMA.names)
 
     id_and_text(df, id_col, text_col).mapInArrow(rows, PIECE_SCHEMA).write.options(**FILE_OPTIONS).parquet(path)
 

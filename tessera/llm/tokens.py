@@ -15,6 +15,7 @@ space around a space are encoded whole, since the split is not safe there.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -37,7 +38,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 MEMO_ENTRIES = 600_000
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 16 << 20
 
 #: Parquet settings: 16 MB row groups and 256 KB pages hold index entries fine enough to skip by; version 2 pages delta-encode the counts.
 FILE_OPTIONS = {
@@ -73,54 +74,119 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for piece, i in vocabulary.items() if piece[0] == "Ġ"]] = True
+        self.feeds = np.zeros(len(self.starts), bool)
+        self.marks = dict(zip("\n,.", self._direct(list("\n,.")), strict=True)) | {"": b""}
+        self.feeds[np.frombuffer(self.marks["\n"], "<u4")] = True
         self.entries = entries
         self.memo: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _after_space(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of each chunk with a space before it; many are encoded as one text and told apart by the space."""
-        out, plain = {}, [c for c in chunks if c and not c[0].isspace()]
-        odd = [c for c in chunks if not c or c[0].isspace()]
-        runs = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for run, got in zip(runs, self._direct([" " + " ".join(r) for r in runs]), strict=True):
-            at = np.flatnonzero(self.starts[np.frombuffer(got, "<u4")]) * 4
-            if len(at) != len(run):
+    def _joined(self, chunks: list[str], by: str, ends: np.ndarray) -> dict[str, bytes]:
+        """The ids of each chunk, many encoded as one text and told apart by where ``ends`` marks an id of the joint."""
+        out, odd = {}, []
+        runs = [chunks[i : i + 512] for i in range(0, len(chunks), 512)]
+        lead = by if by == " " else ""
+        for run, got in zip(runs, self._direct([lead + by.join(r) for r in runs]), strict=True):
+            at = np.flatnonzero(ends[np.frombuffer(got, "<u4")]) * 4
+            if by == " ":  # the joint is part of the chunk that follows
+                cuts, skip = [*at.tolist(), len(got)], 0
+            else:
+                cuts, skip = [-4, *at.tolist(), len(got)], 4
+            if len(cuts) != len(run) + 1:
                 odd += run
                 continue
-            ends = [*at[1:].tolist(), len(got)]
-            out.update(zip(run, (got[a:b] for a, b in zip(at.tolist(), ends, strict=True)), strict=True))
-        out.update(zip(odd, self._direct([" " + c for c in odd]), strict=True))
+            out.update(zip(run, (got[a + skip : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        out.update(zip(odd, self._direct([lead + c for c in odd]), strict=True))
         return out
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        parts: list[list[str] | None] = []
-        for text in texts:
-            parts.append(None if _UNSAFE.search(text) else text.split(" "))
-            out.append(None)
-        whole = [(i, t) for i, (t, p) in enumerate(zip(texts, parts, strict=True)) if p is None]
-        for (i, _), got in zip(whole, self._direct([t for _, t in whole]), strict=True):
-            out[i] = got
-        wanted: set[str] = set()
-        for p in parts:
-            if p is not None:
-                wanted.update(p[1:])
-        memo = self.memo
-        new = self._after_space([c for c in wanted if c not in memo])
+    def _learn(self, memo: dict[str, bytes], wanted: set[str], by: str, ends: np.ndarray) -> dict[str, bytes]:
+        """The wanted chunks' ids, from the memo or encoded now; the memo keeps them while it has room."""
+        new = self._joined([c for c in wanted if c not in memo], by, ends)
         if len(memo) < self.entries:
             memo.update(new)
-            new = {}
-        heads = [(i, p[0]) for i, p in enumerate(parts) if p is not None]
-        for (i, _), head in zip(heads, self._direct([h for _, h in heads]), strict=True):
-            rest = parts[i][1:]
-            try:
-                out[i] = head + b"".join(map(memo.__getitem__, rest))
-            except KeyError:
-                out[i] = head + b"".join([memo[c] if c in memo else new[c] for c in rest])
+        return new
+
+    def _missing(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that follow a space.
+
+        A line feed between two other characters and a comma or full stop after
+        a letter are always words of their own, so chunks are resolved by what
+        lies between those, which recurs far more often.
+        """
+        out, plans, opaque = {}, [], []
+        spaced: set[str] = set()
+        bare: set[str] = set()
+        for c in chunks:
+            if c.isalpha():
+                spaced.add(c)
+            elif c[-1:] in (",", ".") and c[:-1].isalpha():
+                spaced.add(c[:-1])
+                plans.append((c, [(c[:-1], c[-1])]))
+            else:
+                lines = c.split("\n")
+                if not all([x and not x[0].isspace() and not x[-1].isspace() for x in lines]):
+                    opaque.append(c)
+                    continue
+                plan = [(x[:-1], x[-1]) if len(x) > 1 and x[-1] in ",." and x[-2].isalpha() else (x, "") for x in lines]
+                spaced.add(plan[0][0])
+                bare.update([core for core, _ in plan[1:]])
+                plans.append((c, plan))
+        memo, own, marks = self.memo, self.bare, self.marks
+        fresh = self._learn(memo, spaced, " ", self.starts)
+        fresh_bare = self._learn(own, bare, "\n", self.feeds)
+        for c, plan in plans:
+            core, tail = plan[0]
+            ids = (memo.get(core) or fresh[core]) + marks[tail]
+            for core, tail in plan[1:]:
+                ids += marks["\n"] + (own.get(core) or fresh_bare[core]) + marks[tail]
+            out[c] = ids
+        out.update(zip(opaque, self._direct([" " + c for c in opaque]), strict=True))
+        if len(memo) < self.entries:
+            memo.update((c, x) for c, x in out.items() if "\n" not in c)
+        out.update(fresh)
         return out
 
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end of the last."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        whole = [i for i, t in enumerate(texts.to_pylist()) if _UNSAFE.search(t)]
+        aside = texts.take(pa.array(whole, pa.int64()))
+        if whole:
+            mask = np.zeros(len(texts), bool)
+            mask[whole] = True
+            texts = pc.if_else(pa.array(mask), "", texts)
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        which, heads = coded.indices.to_numpy().astype(np.int64), offsets[:-1] - offsets[0]
+        # A text's first chunk has no space before it; the others are looked up once each.
+        first = self._direct([str(x) for x in split.flatten().take(pa.array(heads)).to_pylist()])
+        for i, ids in zip(whole, self._direct(aside.to_pylist()), strict=True):
+            first[i] = ids
+        rest = np.ones(len(which), bool)
+        rest[heads] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[which[rest]] = True
+        chunks = coded.dictionary.to_pylist()
+        ids = [b"" if not u else x for u, x in zip(used.tolist(), map(self.memo.get, chunks), strict=True)]
+        new = self._missing([c for c, x in zip(chunks, ids, strict=True) if x is None])
+        ids = [new[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+        which[heads] = len(ids) + np.arange(len(heads))
+        if end_id is not None:
+            which = np.insert(which, np.append(heads[1:], len(which)), len(ids) + len(first))
+            heads = heads + np.arange(len(heads))
+        ids += [*first, b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        each = sizes[which]
+        ends = np.cumsum(each)
+        values = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + each, each) + np.arange(ends[-1])]
+        return values, np.append((ends - each)[heads], ends[-1])
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -129,20 +195,15 @@ def encoder(path: str) -> ChunkEncoder:
     """One per worker process and vocabulary file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+        gc.set_threshold(200_000, 100, 1000)  # the memo's strings and bytes can't form cycles, yet every collection walks it
     return _ENCODERS[path]
 
 
-def packed(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of (doc_id, text) batches, and each row's ids with the end id."""
-    end = np.array([end_id], "<u4").tobytes()
+def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of (doc_id, text) batches, their ids with end ids, and where each row's begin."""
     for batch in batches:
         for part in slices(batch, SLICE_BYTES):
-            yield part, [x + end for x in encoder(path).encode(part.column("text").to_pylist())]
-
-
-def list_column(ids: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, ids)]) // 4
-    return pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield part, *encoder(path).encode(part.column("text").cast(pa.string()), end_id)
 
 
 def list_bytes(column: pa.ListArray) -> Iterator[memoryview]:
@@ -158,17 +219,14 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Null and empty texts give the end id alone. Null ids come first; rows that
     share an id stay neighbours, in the order of their texts, and each gets a
     row. An empty table gives an empty token table. Other columns are ignored.
-    Texts are encoded one slice of about a megabyte at a time, whatever their
-    number or length.
+    Texts are encoded some megabytes at a time, whatever their number or length.
     """
 
     def rows(batches):
         part, start = TaskContext.get().partitionId(), 0
-        for batch, ids in packed(batches, vocabulary, end_id):
-            counts = np.array([len(x) // 4 for x in ids], "i8")
-            starts = start + np.cumsum(counts) - counts
-            start += int(counts.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(ids), part, "i4")), pa.array(starts), pa.array(counts), list_column(ids)], names=TOKEN_SCHEMA.names)
+        for batch, ids, at in encoded(batches, vocabulary, end_id):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(at) - 1, part, "i4")), pa.array(start + at[:-1]), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype("i4")), pa.array(ids.view("<i4")))], names=TOKEN_SCHEMA.names)
+            start += int(at[-1])
 
     docs = id_and_text(df, id_col, text_col)
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -1,6 +1,8 @@
+import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -26,7 +28,11 @@ ENCODER = tokens.ChunkEncoder(entries=50)
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\r  ab'sé.1<|"), st.characters(exclude_categories=["Cs"]))), max_size=5))
 def test_chunks_give_what_whole_texts_give(texts):
     t = ENCODER.tokenizer
-    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, at = ENCODER.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == want
+    ids, at = ENCODER.encode(pa.array(texts, pa.string()), 0)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [x + [0] for x in want]
 
 
 def test_round_trip_with_odd_rows(spark, tmp_path):

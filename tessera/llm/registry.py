@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language, packing, tokens
+from tessera.llm import language, packing, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": tokens.op1_token_output,
         "op2_language_id": language.op2_language_id,
+        "op4_simhash": simhash.op4_simhash,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
     }
 

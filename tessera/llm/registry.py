@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language, packing, simhash, tokens
+from tessera.llm import language, packing, simhash, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": tokens.op1_token_output,
         "op2_language_id": language.op2_language_id,
         "op4_simhash": simhash.op4_simhash,
+        "op5_exact_topk": topk.op5_exact_topk,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_topk": topk.OP5_SQL,
+    }

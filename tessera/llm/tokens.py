@@ -46,7 +46,7 @@ FILE_OPTIONS = {
     "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true",
     "parquet.writer.version": "PARQUET_2_0",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 TOKEN_SCHEMA = T.StructType(

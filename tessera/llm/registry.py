@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, language, packing, pii, simhash, suffix, tokens, topk
+from tessera.llm import fingerprint, language, lines, packing, pii, simhash, suffix, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": tokens.op1_token_output,
         "op2_language_id": language.op2_language_id,
+        "op3_line_dedup": lines.op3_line_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_exact_topk": topk.op5_exact_topk,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
@@ -24,5 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": lines.OP3_SQL,
         "op5_exact_topk": topk.OP5_SQL,
     }

@@ -429,8 +429,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with_texts = packed.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h"))).select("d.doc_id", "d.h", "d.z", "c.found")
     cut = materialize(with_texts.mapInArrow(_cut(length), SEGMENT), "suffix-segments")
     bytes_ = cut.where("seg is not null").select("hash", "sid", "seg", "n")
-    # Few shards are beyond the bound: one for each ``shard_bytes`` of segments at most.
-    large = bytes_.groupBy("hash").agg(F.sum(F.octet_length("seg")).alias("size")).where(F.col("size") > shard_bytes).select("hash")
+    # Few shards are beyond the bound: one for each ``shard_bytes`` of segments at most. As a written table they have a size that Spark knows, and may broadcast.
+    large = materialize(bytes_.groupBy("hash").agg(F.sum(F.octet_length("seg")).alias("size")).where(F.col("size") > shard_bytes).select("hash"), "suffix-large")
     arrays = bytes_.join(large, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash", "sid").mapInArrow(_flag(length), FLAGGED)
     windows = bytes_.join(large, "hash", "left_semi").select("sid", "seg", "n").mapInArrow(_windows(length), WINDOW)
     often = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")

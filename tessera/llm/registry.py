@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, language, lines, packing, pii, simhash, suffix, tokens, topk
+from tessera.llm import fingerprint, language, lines, packing, pieces, pii, simhash, suffix, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprint": fingerprint.op7_fingerprint,
         "op8_suffix_dedup": suffix.op8_suffix_dedup,
         "op9_pii": pii.op9_pii,
+        "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
 

@@ -22,52 +22,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_key
 from tessera.session import materialize
 
 MIN_WORDS = 5
+FILTER_BITS = 1 << 26
+_BITMAP_BITS = 1 << 15  # of one of Spark's bitmaps
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda w: w != F.lit(""))
+def _normal(line: Column) -> Column:
+    """A line's words with single spaces between; most lines already are that."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for x in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(x))
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\t\r\x0b\x0c]+", " "))).otherwise(line)
 
 
-def _halves(words: Column) -> Column:
+def _halves(line: Column, n: Column) -> list[Column]:
     """Keys of the half lines that a partner must share, for a longer line of n and of n + 1 words."""
-    n = F.size(words)
-
-    def keys(longest: Column) -> list[Column]:
+    out = []
+    for longest in (n, n + 1):
         before = F.floor((longest - 1) / 2).cast("int")
-        after = longest - 1 - before
-        head = F.slice(words, F.lit(1), before)
-        tail = F.slice(words, F.greatest(n - after + 1, F.lit(1)), after)
-        return [F.xxhash64(F.lit(0), longest, head), F.xxhash64(F.lit(1), longest, tail)]
+        out.append(F.xxhash64(F.lit(0), longest, F.call_function("substring_index", line, F.lit(" "), before)))
+        out.append(F.xxhash64(F.lit(1), longest, F.call_function("substring_index", line, F.lit(" "), (before - longest + 1).cast("int"))))
+    return out
 
-    return F.when(n >= MIN_WORDS, F.array(*keys(n), *keys(n + 1))).otherwise(F.array().cast("array<bigint>"))
 
+def _filter_of(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of hashed keys: FILTER_BITS bits at most, so 8 MB, however many keys there are."""
+    at = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    bits = keys.select((at / _BITMAP_BITS).cast("int").alias("__bucket"), (at % _BITMAP_BITS).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    return materialize(bits, "line-filter")
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """v, h, pos and words of every line with a word; (v, h) is the document."""
-    at = docs.select("v", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return at.select("v", "h", "pos", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+
+def _filtered(df: DataFrame, bitmap: DataFrame, key: str, keep_others: bool = False) -> DataFrame:
+    """The rows whose key may be in the bitmap (or those whose key surely isn't); what follows must still join exactly."""
+    at = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    joined = df.withColumn("__bucket", (at / _BITMAP_BITS).cast("int")).join(F.broadcast(bitmap), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (at % _BITMAP_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int"))) > 0, F.lit(False))
+    return joined.where(~may if keep_others else may).select(df.columns)
+
+
+def order_columns() -> list[str]:
+    return ["v", "h", "pos"]
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """v, h, pos, near for each line that goes; near is false for repeats of a line."""
-    lines = _lines(docs)
-    k1, k2 = F.xxhash64("words"), F.xxhash64(F.lit(1), F.reverse("words"), F.size("words"))
-    seen = materialize(lines.select("v", "h", "pos", k1.alias("k1"), k2.alias("k2"), _halves(F.col("words")).alias("halves")), "line-keys")
+    """v, h, pos, near for each line that goes; near is false for repeats of a line. (v, h) is the document."""
+    at = docs.select("v", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = F.col("line")
+    lines = at.select("v", "h", "pos", _normal(line).alias("line")).where("line <> ''")
+    counted = lines.select("v", "h", "pos", "line", (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("n"))
+    halves = [F.when(F.col("n") >= MIN_WORDS, x).alias(f"half{i}") for i, x in enumerate(_halves(line, F.col("n")))]
+    seen = materialize(counted.select("v", "h", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), *halves), "line-keys")
     order = F.struct("v", "h", "pos")
-    distinct = seen.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.max("halves").alias("halves"))
-    distinct = materialize(distinct, "line-distinct")
+    names = [f"half{i}" for i in range(4)]
+    distinct = materialize(seen.groupBy("k1", "k2").agg(F.min(F.struct(*order_columns(), *names)).alias("x")).select("k1", "k2", F.struct("x.v", "x.h", "x.pos").alias("first"), *(f"x.{c}" for c in names)), "line-distinct")
 
-    halves = distinct.select("k1", "k2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    keyed = distinct.select("k1", "k2", F.explode(F.array(*names)).alias("half")).where("half is not null")
+    shared = materialize(keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "line-halves")
+    candidates = _filtered(keyed, _filter_of(shared, "half"), "half").join(shared, "half", "left_semi").select("k1", "k2").distinct()
     # The candidates' words come from where each line stands first, one list of positions for a document.
-    places = distinct.join(candidates, ["k1", "k2"], "left_semi").select("first.*").groupBy("v", "h").agg(F.collect_set("pos").alias("wanted"))
-    texts = places.join(docs, ["v", "h"]).select("v", "h", "wanted", F.split("text", "\n").alias("lines"))
-    wanted = texts.select("v", "h", F.explode("wanted").alias("pos"), "lines").select(F.struct("v", "h", "pos").alias("first"), _words(F.element_at("lines", F.col("pos") + 1)).alias("words"))
+    places = materialize(distinct.select("k1", "k2", "first").join(candidates, ["k1", "k2"], "left_semi").select("first.*").groupBy("v", "h").agg(F.collect_set("pos").alias("wanted")), "line-places")
+    texts = places.join(_filtered(docs, _filter_of(places, "h"), "h"), ["v", "h"]).select("v", "h", "wanted", F.split("text", "\n").alias("lines"))
+    wanted = texts.select("v", "h", F.explode("wanted").alias("pos"), "lines").select(F.struct("v", "h", "pos").alias("first"), F.split(_normal(F.element_at("lines", F.col("pos") + 1)), " ").alias("words"))
     # Rows that repeat a document give the same line again.
     wanted = materialize(wanted.groupBy("first").agg(F.max("words").alias("words")), "line-candidates")
 
@@ -126,11 +144,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keyed = df.withColumn("__v", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("__h", F.xxhash64(F.col(id_col).cast("long"), text))
     docs = keyed.select(F.col("__v").alias("v"), F.col("__h").alias("h"), text.alias("text"))
     gone = removals(docs).distinct().groupBy("v", "h").agg(F.collect_set("pos").alias("gone"), F.count_if("near").alias("near"))
-    g = gone.select(F.col("v").alias("__v"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("near").alias("__near"))
-    joined = keyed.join(g, ["__v", "__h"], "left")
+    g = materialize(gone.select(F.col("v").alias("__v"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("near").alias("__near")), "line-gone")
+    bitmap = _filter_of(g, "__h")
+    # Documents that lose nothing stay where they are; only the others' texts are shuffled to meet their lists.
+    touched = _filtered(keyed, bitmap, "__h").join(g, ["__v", "__h"], "left")
+    untouched = _filtered(keyed, bitmap, "__h", keep_others=True)
+    joined = touched.unionByName(untouched.withColumns({c: F.lit(None).cast(g.schema[c].dataType) for c in ("__gone", "__near")}))
     lines = F.split(text, "\n")
-    numbered = F.map_from_entries(F.transform("__gone", lambda p: F.struct(p, F.lit(True))))
-    kept = F.filter(lines, lambda x, i: ~F.map_contains_key(numbered, i))
+    removed = F.map_from_entries(F.transform("__gone", lambda p: F.struct(p, F.lit(True))))
+    kept = F.filter(lines, lambda x, i: ~F.map_contains_key(removed, i))
     out = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n_gone = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     counts = {"__lines": F.size(lines).cast("long"), "__repeated": n_gone - F.coalesce("__near", F.lit(0)), "__near": F.coalesce("__near", F.lit(0))}

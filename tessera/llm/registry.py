@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tessera.llm import fingerprint, language, lines, packing, pieces, pii, simhash, suffix, tokens, topk
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffix.op8_suffix_dedup,
         "op9_pii": pii.op9_pii,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -67,51 +67,56 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, schema)
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one or more 64-bit words, row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 class BKForest:
-    """BK-trees over slices of one array of distinct fingerprints, a tree for each shard."""
+    """BK-trees over slices of one array of distinct fingerprints (rows of 64-bit words), a tree for each shard."""
 
     def __init__(self, fps: np.ndarray, shard: np.ndarray, member: np.ndarray):
         """shard: number of each item's shard, ascending; member: whether the item is in its shard's tree."""
         self.fps = fps
-        self.child = np.full((len(fps), 65), -1, np.int32)
+        self.span = 64 * fps.shape[1] + 1
         items = np.flatnonzero(member)
-        n_shards = int(shard[-1]) + 1 if len(shard) else 0
-        self.root = np.full(n_shards, -1, np.int64)
+        self.root = np.full(int(shard[-1]) + 1 if len(shard) else 0, -1, np.int64)
         firsts = items[np.unique(shard[items], return_index=True)[1]]
         self.root[shard[firsts]] = firsts
         rest = np.setdiff1d(items, firsts, assume_unique=True)
         at = self.root[shard[rest]]
+        edges, children = [], []
         while rest.size:
-            d = np.bitwise_count(fps[rest] ^ fps[at]).astype(np.int64)
-            edge = at * 65 + d
+            edge = at * self.span + _distance(fps[rest], fps[at])
             # The first item at an edge becomes the child there; the others go on below it.
-            made, first = np.unique(edge, return_index=True)
-            self.child.reshape(-1)[made] = rest[first]
+            made, first, which = np.unique(edge, return_index=True, return_inverse=True)
+            edges.append(made)
+            children.append(rest[first])
             stay = np.ones(len(rest), bool)
             stay[first] = False
-            at = self.child.reshape(-1)[edge[stay]].astype(np.int64)
-            rest = rest[stay]
+            at, rest = rest[first][which][stay], rest[stay]
+        order = np.argsort(edges := np.concatenate([np.zeros(0, np.int64), *edges]))
+        self.edges, self.children = edges[order], np.concatenate([np.zeros(0, np.int64), *children])[order]
 
     def search(self, items: np.ndarray, shard: np.ndarray, radius: int):
         """Pairs (searcher, tree item) within the radius, in blocks."""
         roots = self.root[shard[items]]
         stack = [(items[roots >= 0], roots[roots >= 0])]
-        around = np.arange(-radius, radius + 1)
         while stack:
             who, node = stack.pop()
-            if len(who) > BATCH * 4:
+            if len(who) > BATCH:
                 half = len(who) // 2
                 stack += [(who[:half], node[:half]), (who[half:], node[half:])]
                 continue
-            d = np.bitwise_count(self.fps[who] ^ self.fps[node]).astype(np.int64)
+            d = _distance(self.fps[who], self.fps[node])
             hit = (d <= radius) & (who != node)
             if hit.any():
                 yield who[hit], node[hit]
-            edges = d[:, None] + around
-            below = np.where((edges > 0) & (edges <= 64), self.child[node[:, None], np.clip(edges, 0, 64)], -1)
-            row, column = np.nonzero(below >= 0)
-            if len(row):
-                stack.append((who[row], below[row, column].astype(np.int64)))
+            low = np.searchsorted(self.edges, node * self.span + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.edges, node * self.span + np.minimum(d + radius, self.span - 1), "right") - low
+            ends = np.cumsum(n)
+            if len(ends) and ends[-1]:
+                stack.append((np.repeat(who, n), self.children[np.repeat(low - ends + n, n) + np.arange(ends[-1])]))
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -133,14 +138,14 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _shard_links(bucket: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the groups in whole shards; role 1: in the tree, 2: searches it, 3: both."""
+    """Spanning stars of the groups in whole shards, as item numbers; role 1: in the tree, 2: searches it, 3: both."""
     shard = np.cumsum(np.append(0, bucket[1:] != bucket[:-1]))
     forest = BKForest(fps, shard, (role & 1) > 0)
     label = np.arange(len(fps))
     for a, b in forest.search(np.flatnonzero(role & 2), shard, radius):
         _merge(label, a, b)
     linked = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[linked], fps[label[linked]]
+    return linked, label[linked]
 
 
 def _keys(n: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -163,7 +168,15 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT)
 
     choices = _keys(fps.count(), radius)
     keys = F.array(*(F.xxhash64(F.lit(i), *(bits(*c) for c in chosen)) for i, chosen in enumerate(choices)))
-    keyed = fps.select("fp", F.explode(keys).alias("shard"))
+    return shard_links(fps.select("fp", F.explode(keys).alias("shard")), radius, shard_limit)
+
+
+def shard_links(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """a, b: links that connect what pairs of fingerprints within the radius connect in any shard.
+
+    ``keyed``: fp, a long or the bytes of several 64-bit words, and shard, without repeats.
+    """
+    kind = keyed.schema["fp"].dataType
     # Only shards beyond the limit have a row here: one for each ``shard_limit`` keyed fingerprints at most.
     crowded = keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_limit).select("shard", F.ceil(F.col("n") / shard_limit).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
@@ -171,7 +184,12 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT)
     pair = F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
     role = F.when(F.col("chunks").isNull() | (F.col("own") == F.col("other")), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
     dealt = spread.select(F.when(F.col("chunks").isNull(), F.col("shard")).otherwise(pair).alias("bucket"), "fp", role.alias("role"))
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def words(column) -> np.ndarray:
+        if pa.types.is_integer(column.type):
+            return column.to_numpy().view("u8").reshape(-1, 1)
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
     def rows(batches):
         held: list[pa.RecordBatch] = []
@@ -184,8 +202,9 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT)
             end = len(bucket) if last else int(np.flatnonzero(bucket == bucket[-1])[0])
             held, n = t.slice(end).to_batches(), len(bucket) - end
             if end:
-                a, b = _shard_links(bucket[:end], t.column("fp").to_numpy()[:end].view("u8"), t.column("role").to_numpy()[:end], radius)
-                return pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(b.view("i8"))], names=schema.names)
+                fp = t.column("fp").slice(0, end).combine_chunks()
+                a, b = _shard_links(bucket[:end], words(fp), t.column("role").to_numpy()[:end], radius)
+                return pa.RecordBatch.from_arrays([fp.take(pa.array(a)), fp.take(pa.array(b))], names=schema.names)
             return None
 
         for batch in batches:
@@ -216,6 +235,73 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(labelled.select("fp", "label").join(component, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+WIDE_WORDS = 4
+BAND_SEEDS = 24
+BANDS = 12
+
+
+def _mix(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xD6E8FEB86659FD93)
+
+
+def wide_fingerprint(text: str | None, words: int) -> tuple[bytes, list[int]]:
+    """A fingerprint of ``WIDE_WORDS`` words of 64 bits over distinct shingles, and the shards of its smallest shingles.
+
+    Each of ``BANDS`` shards is named by the smallest shingle hashes under two
+    hash functions: texts of similarity s share one with probability s ** 2,
+    and miss all twelve at 0.8 with probability 0.000005.
+    """
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return bytes(8 * WIDE_WORDS), []
+    shingles = set(map(b" ".join, zip(*(islice(found, k, None) for k in range(words)), strict=False))) if len(found) >= words else {b" ".join(found)}
+    hashes = np.fromiter([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8", len(shingles))
+    out = []
+    for k in range(WIDE_WORDS):
+        ones, mixed = np.zeros(64, np.int64), _mix(hashes, k) if k else hashes
+        for i in range(0, len(mixed), 1 << 15):
+            ones += np.unpackbits(mixed[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes())
+    least = np.array([_mix(hashes, 1000 + k).min() for k in range(BAND_SEEDS)], np.uint64)
+    width = BAND_SEEDS // BANDS
+    return b"".join(out), [xxhash.xxh64_intdigest(least[b * width : (b + 1) * width].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """doc_id, h (of the text) and component_id for groups of texts whose word shingles are similar to ``similarity`` or more.
+
+    At that similarity 64-bit fingerprints differ in ten bits, too many to shard
+    by their own blocks. Here fingerprints have 256 bits, shards are named by
+    smallest shingles, and the BK-trees are searched within the distance that
+    the similarity leads to, and one standard deviation more. Nulls, ties and
+    repeated rows as in ``near_duplicates``, except that texts without words
+    are no copies of each other: each row of them has its own id.
+    """
+    bits = 64 * WIDE_WORDS
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    radius = int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))])
+
+    def rows(batches):
+        for batch in batches:
+            for part in slices(batch, 4 << 20):
+                fps, shards = zip(*(wide_fingerprint(x, words) for x in part.column("text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(fps, pa.binary()), pa.array(shards, pa.list_(pa.int64()))], names=schema.names)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = materialize(df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(rows, schema), "near-fingerprints")
+    with_words = docs.where(F.size("shards") > 0)
+    keyed = with_words.select("fp", F.explode("shards").alias("shard")).distinct()
+    found = connected_components(shard_links(keyed, radius, shard_limit))
+    distinct = with_words.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labelled = materialize(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("label")), "near-labels")
+    component = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    grouped = with_words.join(labelled.select("fp", "label").join(component, "label").select("fp", "component_id"), "fp").select("doc_id", "h", "component_id")
+    return grouped.unionByName(docs.where(F.size("shards") == 0).select("doc_id", "h", F.col("doc_id").alias("component_id")))
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -88,6 +88,28 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_groups(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(300)] for _ in range(12)]
+    rows, want = [], {}
+    for g, words in enumerate(base):
+        for k in range(4):
+            copy = list(words)
+            for _ in range(k):  # each change costs five of about 300 shingles
+                copy[rng.randrange(300)] = "changed"
+            rows.append((g * 10 + k, " ".join(copy)))
+            want[g * 10 + k] = g * 10
+        half = words[:150] + [f"v{rng.randint(0, 5000)}" for _ in range(150)]
+        rows.append((g * 10 + 9, " ".join(half)))
+        want[g * 10 + 9] = g * 10 + 9
+    rows += [(900, None), (901, ""), (902, "two words"), (903, "two words")]
+    want |= {900: 900, 901: 901, 902: 902, 903: 902}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int")
+    for limit in (3, 2048):
+        assert {r.doc_id: r.component_id for r in simhash.near_groups(df, shard_limit=limit).collect()} == want
+    assert simhash.near_groups(df.limit(0)).count() == 0
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()

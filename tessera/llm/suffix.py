@@ -39,8 +39,8 @@ from tessera.session import materialize
 LENGTH = 200
 KMER = 32
 SHARD_BYTES = 16 << 20
-ARRAY_BYTES = 2 << 20
-SLICE_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
 
 _MIX = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15

@@ -29,8 +29,8 @@ from tessera.llm.common import id_and_text, slices
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 THETA = 0.001
 SEED = 20
-TABLE_WORDS = 150_000
-SLICE_BYTES = 4 << 20
+TABLE_WORDS = 80_000
+SLICE_BYTES = 3 << 20
 SPACE = "▁"
 BYTE_SYMBOL = 0x110000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -141,7 +141,9 @@ class Sampler:
         origin = np.where(tail == begin[tail], -1, tail - 1)
         # Forward: nodes at the same depth of their words depend only on nodes before it.
         depth = node - begin[node]
-        order = np.lexsort((tail, node, depth))
+        by_node = np.argsort(node, kind="stable")  # sorted runs, one for each length
+        by_depth = depth[by_node] if depth.max() > 65535 else depth[by_node].astype(np.uint16)  # short numbers are sorted by radix
+        order = by_node[np.argsort(by_depth, kind="stable")]
         forward = np.zeros(len(symbols) + 1)  # the last entry stands for a word's start
         cuts = np.searchsorted(depth[order], np.arange(int(depth.max()) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -151,7 +153,7 @@ class Sampler:
             top = np.maximum.reduceat(value, heads)
             total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(heads, len(arc))))), heads)
             forward[node[arc[heads]]] = top + np.log(total)
-        order = np.lexsort((tail, node))
+        order = by_node
         node, origin = node[order], origin[order]
         share = np.exp(forward[origin] + weight[order] - forward[node])
         heads = np.flatnonzero(np.append(True, np.diff(node) > 0))

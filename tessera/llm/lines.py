@@ -77,7 +77,7 @@ def removals(docs: DataFrame) -> DataFrame:
     seen = materialize(counted.select("v", "h", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), *halves), "line-keys")
     order = F.struct("v", "h", "pos")
     names = [f"half{i}" for i in range(4)]
-    distinct = materialize(seen.groupBy("k1", "k2").agg(F.min(F.struct(*order_columns(), *names)).alias("x")).select("k1", "k2", F.struct("x.v", "x.h", "x.pos").alias("first"), *(f"x.{c}" for c in names)), "line-distinct")
+    distinct = materialize(seen.groupBy("k1", "k2").agg(F.min(F.struct(*order_columns(), *names)).alias("x"), F.count("*").alias("n")).select("k1", "k2", "n", F.struct("x.v", "x.h", "x.pos").alias("first"), *(f"x.{c}" for c in names)), "line-distinct")
 
     keyed = distinct.select("k1", "k2", F.explode(F.array(*names)).alias("half")).where("half is not null")
     shared = materialize(keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "line-halves")
@@ -116,11 +116,11 @@ def removals(docs: DataFrame) -> DataFrame:
     a = links.join(wanted, "first")
     b = a.join(wanted.select(F.col("first").alias("earlier"), F.col("words").alias("other")), "earlier")
     near = b.where(_one_edit(F.col("words"), F.col("other"))).select("first")
-    near_keys = distinct.join(near, "first", "left_semi").select("k1", "k2", F.lit(True).alias("near"))
-
-    # Every line that isn't its words' first, and the first of those that have an earlier neighbour.
-    affected = distinct.select("k1", "k2", "first").join(near_keys, ["k1", "k2"], "left")
-    return seen.select("v", "h", "pos", "k1", "k2").join(affected, ["k1", "k2"]).where((order != F.col("first")) | F.col("near")).select("v", "h", "pos", (order == F.col("first")).alias("near"))
+    # Of the lines that stand more than once all but the first go, and the first of those that have an earlier neighbour.
+    near = near.withColumn("near", F.lit(True))
+    affected = materialize(distinct.select("k1", "k2", "n", "first").join(near, "first", "left").where(F.col("near") | (F.col("n") > 1)).select("k1", "k2", "first", "near"), "line-affected")
+    places = _filtered(seen.select("v", "h", "pos", "k1", "k2"), _filter_of(affected, "k1"), "k1")
+    return places.join(affected, ["k1", "k2"]).where((order != F.col("first")) | F.col("near")).select("v", "h", "pos", (order == F.col("first")).alias("near"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:

@@ -19,6 +19,16 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's 10,000 rows, for rows that hold texts; a setting of the caller's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def slices(batch: pa.RecordBatch, chars: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about ``chars`` bytes of text, so that a worker's memory follows neither batch nor row count."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

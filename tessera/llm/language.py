@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, small_batches
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -109,6 +109,7 @@ def identify(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str
 
     Repeated rows get the same answer; an empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_and_text
+from tessera.llm.common import id_and_text, small_batches
 from tessera.llm.tokens import END_ID, FILE_OPTIONS, VOCABULARY, encoded, with_crc
 from tessera.session import scratch_path
 
@@ -135,6 +135,8 @@ def write_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     pieces. Other columns are ignored.
     """
 
+    small_batches(df.sparkSession)
+
     def rows(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch, ids, at in encoded(batches, vocabulary, end_id):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_and_text, slices
+from tessera.llm.common import id_and_text, slices, small_batches
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 THETA = 0.001
@@ -248,6 +248,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     result.
     """
 
+    small_batches(df.sparkSession)
+
     def rows(batches):
         s = sampler(model, theta, seed)
         for batch in batches:
@@ -261,6 +263,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
 def decode(df: DataFrame, keep: list[str], ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """``keep`` and text, decoded from ids; a null array gives an empty text."""
+    small_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("text", T.StringType())])
 
     def rows(batches):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, small_batches
 from tessera.operators.components import connected_components
 from tessera.session import materialize
 
@@ -56,6 +56,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every row."""
+    small_batches(df.sparkSession)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
 
     def rows(batches):
@@ -279,6 +280,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     repeated rows as in ``near_duplicates``, except that texts without words
     are no copies of each other: each row of them has its own id.
     """
+    small_batches(df.sparkSession)
     bits = 64 * WIDE_WORDS
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     radius = int(bits * angle + np.sqrt(bits * angle * (1 - angle)))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_and_text, slices, text_key
+from tessera.llm.common import id_and_text, slices, small_batches, text_key
 from tessera.session import materialize
 
 LENGTH = 200
@@ -420,6 +420,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Shorter texts are kept whole. Other columns are ignored; an empty table
     gives an empty result.
     """
+    small_batches(df.sparkSession)
     docs = id_and_text(df, id_col, text_col).select("doc_id", text_key().alias("h"), "text")
     long_enough = docs.where(F.octet_length("text") >= length)
     anchors = materialize(long_enough.mapInArrow(_anchors(length, kmer), ANCHOR), "suffix-anchors")

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_and_text, slices
+from tessera.llm.common import id_and_text, slices, small_batches
 from tessera.session import scratch_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 SLICE_BYTES = 6 << 20
 
 #: Parquet settings: 16 MB row groups and 256 KB pages hold index entries fine enough to skip by; version 2 pages delta-encode the counts.
@@ -224,6 +224,8 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Texts are encoded some megabytes at a time, whatever their number or length.
     """
 
+    small_batches(df.sparkSession)
+
     def rows(batches):
         part, start = TaskContext.get().partitionId(), 0
         for batch, ids, at in encoded(batches, vocabulary, end_id):
@@ -254,6 +256,7 @@ def _by_part():
 
 def with_crc(df: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
     """``keep`` and ids_crc32, the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+    small_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("ids_crc32", T.LongType())])
 
     def rows(batches):

@@ -29,8 +29,8 @@ from tessera.llm.common import id_and_text, slices, small_batches
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 THETA = 0.001
 SEED = 20
-TABLE_WORDS = 80_000
-SLICE_BYTES = 3 << 20
+TABLE_WORDS = 60_000
+SLICE_BYTES = 4 << 20
 SPACE = "▁"
 BYTE_SYMBOL = 0x110000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,15 +75,18 @@ class Sampler:
         self.own[[ord(x) for x in self.pieces if len(x) == 1 and x != SPACE]] = True
         symbols = [([ord(c) for c in x], i, w) for x, (i, w) in self.pieces.items()]
         symbols += [([BYTE_SYMBOL + self.bytes_of[i][0]], i, 0.0) for i in range(n) if sp.is_byte(i)]
+        # For each length the beginnings of pieces by hash; id -1 where a beginning is no piece itself.
+        whole = {tuple(x): (i, w) for x, i, w in symbols}
         self.tables = []
-        for length in range(1, max(len(x) for x, _, _ in symbols) + 1):
-            found = [x for x in symbols if len(x[0]) == length]
-            codes = np.array([x for x, _, _ in found], np.int64).reshape(-1, length)
-            keys = np.zeros(len(found), np.uint64)
+        for length in range(1, max(map(len, whole)) + 1):
+            begins = sorted({x[:length] for x in whole if len(x) >= length})
+            codes = np.array(begins, np.int64).reshape(-1, length)
+            keys = np.zeros(len(begins), np.uint64)
             for column in codes.T:
                 keys = keys * _STEP + column.astype(np.uint64)
             order = np.argsort(keys)
-            self.tables.append((keys[order], codes[order], np.array([i for _, i, _ in found], np.int32)[order], np.array([w for _, _, w in found])[order]))
+            found = [whole.get(x, (-1, 0.0)) for x in begins]
+            self.tables.append((keys[order], codes[order], np.array([i for i, _ in found], np.int32)[order], np.array([w for _, w in found])[order]))
         self.seed, self.words = seed, words
         self.index: dict[str, int] = {}
         none = np.zeros(0, np.int32)
@@ -119,48 +122,54 @@ class Sampler:
         sizes = ends - starts
         stop, begin = np.repeat(ends, sizes), np.repeat(starts, sizes)
         at, key = np.arange(len(symbols)), np.zeros(len(symbols), np.uint64)
-        tails, nodes, ids, weights = [], [], [], []
+        found = []
+        degree = np.zeros(len(symbols), np.int64)
         for length, (keys, codes, piece, weight) in enumerate(self.tables, 1):
             room = at + length <= stop[at]
             at, key = at[room], key[room]
             key = key * _STEP + symbols[at + length - 1].astype(np.uint64)
-            if not len(keys):
-                continue
             where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = np.flatnonzero(keys[where] == key)
-            where, here = where[hit], at[hit]
-            for k in range(length):
-                same = codes[where, k] == symbols[here + k]
+            where, at, key = where[hit], at[hit], key[hit]  # only beginnings of pieces can go on
+            if length > 2:  # hashes of one or two symbols can't collide
+                same = np.ones(len(at), bool)
+                for k in range(length):
+                    same &= codes[where, k] == symbols[at + k]
                 if not same.all():
-                    where, here = where[same], here[same]
-            tails.append(here)
-            nodes.append(here + length - 1)
-            ids.append(piece[where])
-            weights.append(weight[where])
-        tail, node, piece, weight = map(np.concatenate, (tails, nodes, ids, weights))
+                    where, at, key = where[same], at[same], key[same]
+            ids = piece[where]
+            full = ids >= 0
+            found.append((at[full], ids[full], weight[where[full]]))
+            degree[found[-1][0] + length - 1] += 1
+        # Arcs by the node that they lead to, and there by length.
+        heads = np.cumsum(degree) - degree
+        free = heads.copy()
+        n_arcs = int(degree.sum())
+        tail, node, piece, weight = np.empty(n_arcs, np.int64), np.empty(n_arcs, np.int64), np.empty(n_arcs, np.int32), np.empty(n_arcs)
+        for length, (start, ids, w) in enumerate(found, 1):
+            last = start + length - 1
+            slot = free[last]
+            tail[slot], node[slot], piece[slot], weight[slot] = start, last, ids, w
+            free[last] += 1
         origin = np.where(tail == begin[tail], -1, tail - 1)
         # Forward: nodes at the same depth of their words depend only on nodes before it.
         depth = node - begin[node]
-        by_node = np.argsort(node, kind="stable")  # sorted runs, one for each length
-        by_depth = depth[by_node] if depth.max() > 65535 else depth[by_node].astype(np.uint16)  # short numbers are sorted by radix
-        order = by_node[np.argsort(by_depth, kind="stable")]
+        by_depth = depth if depth.max() > 65535 else depth.astype(np.uint16)  # short numbers are sorted by radix
+        order = np.argsort(by_depth, kind="stable")
         forward = np.zeros(len(symbols) + 1)  # the last entry stands for a word's start
         cuts = np.searchsorted(depth[order], np.arange(int(depth.max()) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             arc = order[a:b]
             value = forward[origin[arc]] + weight[arc]
-            heads = np.flatnonzero(np.append(True, np.diff(node[arc]) > 0))
-            top = np.maximum.reduceat(value, heads)
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(heads, len(arc))))), heads)
-            forward[node[arc[heads]]] = top + np.log(total)
-        order = by_node
-        node, origin = node[order], origin[order]
-        share = np.exp(forward[origin] + weight[order] - forward[node])
-        heads = np.flatnonzero(np.append(True, np.diff(node) > 0))
+            groups = np.flatnonzero(np.append(True, np.diff(node[arc]) > 0))
+            top = np.maximum.reduceat(value, groups)
+            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(groups, len(arc))))), groups)
+            forward[node[arc[groups]]] = top + np.log(total)
+        share = np.exp(forward[origin] + weight - forward[node])
         running = np.cumsum(share)
         cumulative = running - np.repeat(running[heads] - share[heads], np.diff(np.append(heads, len(node))))
         cumulative[np.append(heads[1:], len(node)) - 1] = 1.0
-        return _Lattices((ends - 1).astype(np.int32), heads.astype(np.int32), cumulative, origin.astype(np.int32), piece[order])
+        return _Lattices((ends - 1).astype(np.int32), heads.astype(np.int32), cumulative, origin.astype(np.int32), piece)
 
     def _uniform(self, row: np.ndarray, word: np.ndarray, draw: int) -> np.ndarray:
         """Numbers in [0, 1) from a hash of row key, word number and draw number."""

@@ -72,7 +72,7 @@ class LanguageModel:
         learned are undetermined with score 0. Ties go to the language that
         sorts first. With a single language the score is 1.
         """
-        data = letters(text) if text else b""
+        data = letters(text) if text and any(map(str.isalpha, text)) else b""
         if not data or not self.dictionaries:
             return UNDETERMINED, 0.0, True
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.assoc import EDGE
@@ -56,13 +56,21 @@ class PropertyGraph:
         return PropertyGraph(live.sparkSession.read.schema(live.schema).parquet(path), self.live_attrs() if self.attrs is not None else None)
 
 
+def range_bucket(df: DataFrame, by: str) -> Column:
+    """The number of a row's range of ``by``: as many ranges of about equal size as there are shuffle partitions.
+
+    Bounds are approximate quantiles, which only numbers have; other types make one range.
+    """
+    if df.schema[by].dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double"):
+        return F.lit(0)
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.stat.approxQuantile(by, [i / n for i in range(1, n)], 0.25 / n)))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(by))) if bounds else F.lit(0)
+
+
 def number_rows(df: DataFrame, by: str, start: int = 0, out: str = "id") -> DataFrame:
     """Consecutive numbers from ``start`` in the order of ``by``: ranges are numbered apart and offset by the rows before them."""
-    bounds = df.stat.approxQuantile(by, [i / 16 for i in range(1, 16)], 0.01) if df.schema[by].dataType.typeName() in ("long", "integer", "double") else []
-    bucket = F.lit(0)
-    for b in sorted(set(bounds)):
-        bucket = bucket + (F.col(by) > F.lit(b)).cast("int")
-    dealt = df.withColumn("__r", bucket)
+    dealt = df.withColumn("__r", range_bucket(df, by))
     counts = dealt.groupBy("__r").agg(F.count("*").alias("__n"))
     before = counts.select("__r", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__r").orderBy(by))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import range_bucket
+
 #: Bucket edges in microseconds: 100 us steps below 1 ms, 1 ms steps below 100 ms, 100 ms steps below 1 s, 1 s steps below 10 s, then one bucket.
 STEPS = [(0, 1_000, 100), (1_000, 100_000, 1_000), (100_000, 1_000_000, 100_000), (1_000_000, 10_000_000, 1_000_000)]
 
@@ -104,12 +106,7 @@ def ranked_percentile(df: DataFrame, column: str, p: float) -> DataFrame:
 
 def cumulative(counts: DataFrame, by: str, n: str) -> DataFrame:
     """``counts`` with upto, the sum of n over all values up to a row's: ranges of values are summed apart first."""
-    kind = counts.schema[by].dataType.typeName()
-    bounds = counts.stat.approxQuantile(by, [i / 16 for i in range(1, 16)], 0.01) if kind in ("long", "integer", "double", "float") else []
-    bucket = F.lit(0)
-    for b in sorted(set(bounds)):
-        bucket = bucket + (F.col(by) > F.lit(b)).cast("int")
-    dealt = counts.withColumn("__r", bucket)
+    dealt = counts.withColumn("__r", range_bucket(counts, by))
     totals = dealt.groupBy("__r").agg(F.sum(n).alias("__n"))
     before = totals.select("__r", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.sum(n).over(Window.partitionBy("__r").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))

@@ -39,7 +39,10 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def letters(text: str) -> bytes:
     """Lower-case letters, with one space for whatever lies between."""
-    return _NOT_LETTERS.sub(" ", text).strip().lower().encode("utf-8", "surrogatepass")
+    found = _NOT_LETTERS.sub(" ", text).strip()
+    if not found.replace(" ", "").isalpha():  # numerals such as fractions are left
+        found = " ".join("".join(c if c.isalpha() else " " for c in found).split())
+    return found.lower().encode("utf-8", "surrogatepass")
 
 
 @dataclass
@@ -72,7 +75,7 @@ class LanguageModel:
         learned are undetermined with score 0. Ties go to the language that
         sorts first. With a single language the score is 1.
         """
-        data = letters(text) if text and any(map(str.isalpha, text)) else b""
+        data = letters(text) if text else b""
         if not data or not self.dictionaries:
             return UNDETERMINED, 0.0, True
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]

@@ -36,7 +36,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 700_000
 SLICE_BYTES = 6 << 20
 
 #: Parquet settings: 16 MB row groups and 256 KB pages hold index entries fine enough to skip by; version 2 pages delta-encode the counts.

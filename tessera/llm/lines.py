@@ -63,10 +63,6 @@ def _filtered(df: DataFrame, bitmap: DataFrame, key: str, keep_others: bool = Fa
     return joined.where(~may if keep_others else may).select(df.columns)
 
 
-def order_columns() -> list[str]:
-    return ["v", "h", "pos"]
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """v, h, pos, near for each line that goes; near is false for repeats of a line. (v, h) is the document."""
     at = docs.select("v", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -77,7 +73,7 @@ def removals(docs: DataFrame) -> DataFrame:
     seen = materialize(counted.select("v", "h", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), *halves), "line-keys")
     order = F.struct("v", "h", "pos")
     names = [f"half{i}" for i in range(4)]
-    distinct = materialize(seen.groupBy("k1", "k2").agg(F.min(F.struct(*order_columns(), *names)).alias("x"), F.count("*").alias("n")).select("k1", "k2", "n", F.struct("x.v", "x.h", "x.pos").alias("first"), *(f"x.{c}" for c in names)), "line-distinct")
+    distinct = materialize(seen.groupBy("k1", "k2").agg(F.min(F.struct("v", "h", "pos", *names)).alias("x"), F.count("*").alias("n")).select("k1", "k2", "n", F.struct("x.v", "x.h", "x.pos").alias("first"), *(f"x.{c}" for c in names)), "line-distinct")
 
     keyed = distinct.select("k1", "k2", F.explode(F.array(*names)).alias("half")).where("half is not null")
     shared = materialize(keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "line-halves")

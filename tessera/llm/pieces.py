@@ -30,6 +30,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 THETA = 0.001
 SEED = 20
 TABLE_WORDS = 60_000
+BUILD_WORDS = 40_000  # at once, which bounds what building them takes
 SLICE_BYTES = 4 << 20
 SPACE = "▁"
 BYTE_SYMBOL = 0x110000
@@ -190,7 +191,8 @@ class Sampler:
         new = [w for w in words if w not in self.index]
         lattices, number = self.known, self.index
         if new:
-            lattices = lattices + self.lattices(new)
+            for i in range(0, len(new), BUILD_WORDS):
+                lattices = lattices + self.lattices(new[i : i + BUILD_WORDS])
             added = dict(zip(new, range(len(number), len(number) + len(new)), strict=True))
             if len(number) < self.words:  # else they last for this call
                 self.known = lattices

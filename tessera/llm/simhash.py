@@ -172,52 +172,58 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT)
     return shard_links(fps.select("fp", F.explode(keys).alias("shard")), radius, shard_limit)
 
 
-def shard_links(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """a, b: links that connect what pairs of fingerprints within the radius connect in any shard.
-
-    ``keyed``: fp, a long or the bytes of several 64-bit words, and shard, without repeats.
-    """
-    kind = keyed.schema["fp"].dataType
+def _dealt(keyed: DataFrame, shard_limit: int) -> DataFrame:
+    """``keyed`` with bucket and role (1: in the tree, 2: searches it, 3: both); every pair of a shard meets in a bucket of at most two chunks."""
     # Only shards beyond the limit have a row here: one for each ``shard_limit`` keyed fingerprints at most.
     crowded = keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_limit).select("shard", F.ceil(F.col("n") / shard_limit).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
     spread = keyed.join(crowded, "shard", "left").withColumn("own", own).withColumn("other", F.explode(F.expr("if(chunks is null, array(0), sequence(0, chunks - 1))")))
     pair = F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
     role = F.when(F.col("chunks").isNull() | (F.col("own") == F.col("other")), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = spread.select(F.when(F.col("chunks").isNull(), F.col("shard")).otherwise(pair).alias("bucket"), "fp", role.alias("role"))
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    kept = [c for c in keyed.columns if c != "shard"]
+    return spread.select(F.when(F.col("chunks").isNull(), F.col("shard")).otherwise(pair).alias("bucket"), *kept, role.alias("role")).repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _words(column) -> np.ndarray:
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view("u8").reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+
+def _runs(batches, name: str, limit: int = BATCH):
+    """Tables of about ``limit`` rows that end where the column's value changes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, limit):
+            held.append(batch.slice(i, limit))
+            n += held[-1].num_rows
+            if n >= limit:
+                t = pa.Table.from_batches(held)
+                value = t.column(name).to_numpy()
+                end = int(np.flatnonzero(value == value[-1])[0])
+                held, n = t.slice(end).to_batches(), len(value) - end
+                if end:
+                    yield t.slice(0, end)
+    if n:
+        yield pa.Table.from_batches(held)
 
-    def words(column) -> np.ndarray:
-        if pa.types.is_integer(column.type):
-            return column.to_numpy().view("u8").reshape(-1, 1)
-        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
-    def rows(batches):
-        held: list[pa.RecordBatch] = []
-        n = 0
-
-        def flush(last: bool):
-            nonlocal held, n
-            t = pa.Table.from_batches(held)
-            bucket = t.column("bucket").to_numpy()
-            end = len(bucket) if last else int(np.flatnonzero(bucket == bucket[-1])[0])
-            held, n = t.slice(end).to_batches(), len(bucket) - end
-            if end:
-                fp = t.column("fp").slice(0, end).combine_chunks()
-                a, b = _shard_links(bucket[:end], words(fp), t.column("role").to_numpy()[:end], radius)
-                return pa.RecordBatch.from_arrays([fp.take(pa.array(a)), fp.take(pa.array(b))], names=schema.names)
-            return None
+def shard_links(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """a, b: links that connect what pairs of fingerprints within the radius connect in any shard.
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, BATCH):
-                held.append(batch.slice(i, BATCH))
-                n += held[-1].num_rows
-                if n >= BATCH and (found := flush(False)) is not None:
-                    yield found
-        if held:
-            yield flush(True)
+    ``keyed``: fp, a long or the bytes of several 64-bit words, and shard, without repeats.
+    """
+    kind = keyed.schema["fp"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, schema).distinct()
+    def rows(batches):
+        for t in _runs(batches, "bucket"):
+            fp = t.column("fp").combine_chunks()
+            a, b = _shard_links(t.column("bucket").to_numpy(), _words(fp), t.column("role").to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([fp.take(pa.array(a)), fp.take(pa.array(b))], names=schema.names)
+
+    return _dealt(keyed, shard_limit).mapInArrow(rows, schema).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
@@ -239,6 +245,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 WIDE_WORDS = 4
 BAND_SEEDS = 24
 BANDS = 12
+FEW_SHINGLES = 64
+DEVIATIONS = 4
+VERIFY_ROWS = 2048
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -247,18 +256,27 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def wide_fingerprint(text: str | None, words: int) -> tuple[bytes, list[int]]:
-    """A fingerprint of ``WIDE_WORDS`` words of 64 bits over distinct shingles, and the shards of its smallest shingles.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The 64-bit hashes of a text's distinct shingles, ascending; none without words."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, "<u8")
+    shingles = set(map(b" ".join, zip(*(islice(found, k, None) for k in range(words)), strict=False))) if len(found) >= words else {b" ".join(found)}
+    return np.unique(np.fromiter([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8", len(shingles)))
+
+
+def wide_fingerprint(hashes: np.ndarray, similarity: float) -> tuple[bytes, list[int], list[int]]:
+    """A fingerprint of ``WIDE_WORDS`` words of 64 bits over distinct shingles with a digest of their set, and its shards.
 
     Each of ``BANDS`` shards is named by the smallest shingle hashes under two
     hash functions: texts of similarity s share one with probability s ** 2,
-    and miss all twelve at 0.8 with probability 0.000005.
+    and miss all twelve at 0.8 with probability 0.000005. The first list has
+    the shards that are searched by distance. Over fewer than ``FEW_SHINGLES``
+    the distance tells too little: those texts, and all that can be similar to
+    one of them, are in the shards of the second list.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return bytes(8 * WIDE_WORDS), []
-    shingles = set(map(b" ".join, zip(*(islice(found, k, None) for k in range(words)), strict=False))) if len(found) >= words else {b" ".join(found)}
-    hashes = np.fromiter([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8", len(shingles))
+    if not hashes.size:
+        return bytes(8 * (WIDE_WORDS + 2)), [], []
     out = []
     for k in range(WIDE_WORDS):
         ones, mixed = np.zeros(64, np.int64), _mix(hashes, k) if k else hashes
@@ -267,7 +285,94 @@ def wide_fingerprint(text: str | None, words: int) -> tuple[bytes, list[int]]:
         out.append(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes())
     least = np.array([_mix(hashes, 1000 + k).min() for k in range(BAND_SEEDS)], np.uint64)
     width = BAND_SEEDS // BANDS
-    return b"".join(out), [xxhash.xxh64_intdigest(least[b * width : (b + 1) * width].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+
+    def shards(first: int) -> list[int]:
+        return [xxhash.xxh64_intdigest(least[b * width : (b + 1) * width].tobytes(), first + b) - (1 << 63) for b in range(BANDS)]
+
+    digest = xxhash.xxh3_128_digest(hashes.tobytes())
+    return b"".join([*out, digest]), shards(0) if len(hashes) >= FEW_SHINGLES else [], shards(BANDS) if len(hashes) * similarity < FEW_SHINGLES else []
+
+
+def candidate_groups(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """grp, fp: groups of two or more fingerprints that distances within the radius connect in a shard, or that share a shard of few shingles.
+
+    ``keyed``: fp, few and shard, without repeats. A group has at most two
+    chunks' fingerprints and is named by its members, so groups that several
+    shards find are one.
+    """
+    schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("fp", T.BinaryType())])
+
+    def rows(batches):
+        for t in _runs(batches, "bucket"):
+            bucket, few, fp = t.column("bucket").to_numpy(), t.column("few").to_numpy(), t.column("fp").combine_chunks()
+            # A bucket of few shingles is a group as it is.
+            label = np.searchsorted(bucket, bucket)
+            far = np.flatnonzero(~few)
+            label[far] = far
+            if far.size:
+                a, b = _shard_links(bucket[far], _words(fp.take(pa.array(far)))[:, :WIDE_WORDS], t.column("role").to_numpy()[far], radius)
+                label[far[a]] = far[b]
+            order = np.argsort(label, kind="stable")
+            cuts = np.flatnonzero(np.diff(label[order])) + 1
+            for members in np.split(order, cuts):
+                if len(members) > 1:
+                    keys = sorted(fp.take(pa.array(members)).to_pylist())
+                    name = xxhash.xxh64_intdigest(b"".join(keys)) - (1 << 63)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name)), pa.array(keys, pa.binary())], names=schema.names)
+
+    return _dealt(keyed, shard_limit).mapInArrow(rows, schema).distinct()
+
+
+def similar_items(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the smallest number of a set that it is connected with by pairs of that Jaccard similarity or more.
+
+    Every pair is compared, whole, but those that others connect already and
+    those whose sizes rule it out.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.cumsum(n) - n
+    label, mark = np.arange(len(sets)), np.zeros(int(flat.max(initial=0)) + 1, bool)
+    for a in range(len(sets)):
+        fit = np.minimum(n, n[a]) >= (similarity - 1e-9) * np.maximum(n, n[a])
+        fit[: a + 1] = False
+        others = np.flatnonzero(fit & (label != label[a]))
+        if not others.size:
+            continue
+        own = flat[first[a] : first[a] + n[a]]
+        mark[own] = True
+        step = max(1, (1 << 22) // int(n[a]))
+        for i in range(0, len(others), step):
+            b = others[i : i + step]
+            ends = np.cumsum(n[b])
+            common = np.add.reduceat(mark[flat[np.repeat(first[b] - ends + n[b], n[b]) + np.arange(ends[-1])]], ends - n[b], dtype=np.int64)
+            near = b[common / (n[a] + n[b] - common) >= similarity]
+            if near.size:
+                joined = np.unique(np.append(label[near], label[a]))
+                label[np.isin(label, joined)] = joined[0]
+        mark[own] = False
+    return label
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect what pairs of the similarity connect within a group. ``sets``: fp and its shingles' hashes."""
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def rows(batches):
+        for t in _runs(batches, "grp", VERIFY_ROWS):
+            grp, fp, hashes = t.column("grp").to_numpy(), t.column("fp").combine_chunks(), t.column("shingles").combine_chunks()
+            ends = hashes.offsets.to_numpy()
+            flat = hashes.values.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(grp)) + 1).tolist(), len(grp)]
+            a, b = [], []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                label = similar_items([flat[ends[i] : ends[i + 1]] for i in range(low, high)], similarity)
+                linked = np.flatnonzero(label != np.arange(high - low))
+                a += (low + linked).tolist()
+                b += (low + label[linked]).tolist()
+            yield pa.RecordBatch.from_arrays([fp.take(pa.array(a, pa.int64())), fp.take(pa.array(b, pa.int64()))], names=schema.names)
+
+    return candidates.join(sets, "fp").select("grp", "fp", "shingles").repartition("grp").sortWithinPartitions("grp").mapInArrow(rows, schema).distinct()
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, shard_limit: int = SHARD_LIMIT) -> DataFrame:
@@ -276,32 +381,51 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     At that similarity 64-bit fingerprints differ in ten bits, too many to shard
     by their own blocks. Here fingerprints have 256 bits, shards are named by
     smallest shingles, and the BK-trees are searched within the distance that
-    the similarity leads to, and one standard deviation more. Nulls, ties and
-    repeated rows as in ``near_duplicates``, except that texts without words
-    are no copies of each other: each row of them has its own id.
+    the similarity leads to, and ``DEVIATIONS`` standard deviations more. That
+    only gives candidates: a link is a pair whose whole shingle sets, as 64-bit
+    hashes, have the similarity. Nulls, ties and repeated rows as in
+    ``near_duplicates``, except that texts without words are no copies of each
+    other: each row of them has its own id.
     """
     small_batches(df.sparkSession)
     bits = 64 * WIDE_WORDS
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    radius = int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))])
+    radius = int(bits * angle + DEVIATIONS * np.sqrt(bits * angle * (1 - angle)))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("shards", longs), T.StructField("few_shards", longs)])
+    set_schema = T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("shingles", longs)])
 
     def rows(batches):
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                fps, shards = zip(*(wide_fingerprint(x, words) for x in part.column("text").to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(fps, pa.binary()), pa.array(shards, pa.list_(pa.int64()))], names=schema.names)
+                fps, shards, few = zip(*(wide_fingerprint(shingle_hashes(x, words), similarity) for x in part.column("text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(fps, pa.binary()), pa.array(shards, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))], names=schema.names)
+
+    def set_rows(batches):
+        for batch in batches:
+            for part in slices(batch, 4 << 20):
+                hashes = [shingle_hashes(x, words) for x in part.column("text").to_pylist()]
+                fps = [wide_fingerprint(x, similarity)[0] for x in hashes]
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([x.view("i8") for x in hashes], pa.list_(pa.int64()))], names=set_schema.names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = materialize(df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(rows, schema), "near-fingerprints")
-    with_words = docs.where(F.size("shards") > 0)
-    keyed = with_words.select("fp", F.explode("shards").alias("shard")).distinct()
-    found = connected_components(shard_links(keyed, radius, shard_limit))
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    docs = materialize(texts.mapInArrow(rows, schema), "near-fingerprints")
+    worded = (F.size("shards") > 0) | (F.size("few_shards") > 0)
+    with_words = docs.where(worded)
+    keyed = with_words.select("fp", F.lit(False).alias("few"), F.explode("shards").alias("shard")).unionByName(with_words.select("fp", F.lit(True).alias("few"), F.explode("few_shards").alias("shard"))).distinct()
+    candidates = materialize(candidate_groups(keyed, radius, shard_limit), "near-candidates")
+    # One row of each candidate's: only these texts are read again.
+    row = with_words.join(candidates.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("r"))
+    chosen = materialize(row.select(F.col("r.doc_id").alias("__id"), F.col("r.h").alias("__h")), "near-chosen")
+    again = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left_semi")
+    sets = again.select("text").mapInArrow(set_rows, set_schema).dropDuplicates(["fp"])
+    found = connected_components(_verified(candidates, sets, similarity))
     distinct = with_words.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labelled = materialize(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("label")), "near-labels")
     component = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     grouped = with_words.join(labelled.select("fp", "label").join(component, "label").select("fp", "component_id"), "fp").select("doc_id", "h", "component_id")
-    return grouped.unionByName(docs.where(F.size("shards") == 0).select("doc_id", "h", F.col("doc_id").alias("component_id")))
+    return grouped.unionByName(docs.where(~worded).select("doc_id", "h", F.col("doc_id").alias("component_id")))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

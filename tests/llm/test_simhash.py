@@ -110,6 +110,35 @@ def test_near_groups(spark):
     assert simhash.near_groups(df.limit(0)).count() == 0
 
 
+def test_near_groups_hold_to_the_similarity(spark):
+    """Pairs at, over and just under 0.8 in five-word shingles, long and short."""
+    rows, want = [], {}
+
+    def pair(a, b, near):
+        x = len(rows)
+        rows.extend([(x, " ".join(a)), (x + 1, " ".join(b))])
+        want.update({x: x, x + 1: x if near else x + 1})
+
+    # Appended words: of n and n + k shingles, n are shared.
+    for shared, more in ((280, 120), (78, 22), (312, 88), (399, 101), (80, 20), (400, 100), (82, 18), (328, 72), (4, 1), (3, 1), (8, 2), (7, 2), (40, 10), (39, 10), (63, 15), (64, 16), (63, 16)):
+        for copy in range(12):
+            words = [f"{shared}.{more}.{copy}.{i}" for i in range(shared + more + 4)]
+            pair(words[: shared + 4], words, 5 * shared >= 4 * (shared + more))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (2, 2048):
+        got = {r.doc_id: r.component_id for r in simhash.near_groups(df, shard_limit=limit).collect()}
+        assert {d: c for d, c in got.items() if want[d] != c} == {}
+
+
+def test_similar_items():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.choice(40, rng.integers(1, 14))).astype(np.int64) for _ in range(120)]
+    label = np.arange(len(sets))
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(set(a) & set(b)) >= 0.5 * len(set(a) | set(b))]
+    simhash._merge(label, *map(np.array, zip(*pairs, strict=True)))
+    assert simhash.similar_items(sets, 0.5).tolist() == label.tolist()
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()

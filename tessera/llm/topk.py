@@ -89,7 +89,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Search:
-    """A block of queries against vectors that come by descending length."""
+    """A block of queries against vectors in any order; the sooner the long ones come, the more of the others is left out."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, rotation: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
@@ -102,21 +102,21 @@ class _Search:
         self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
         self.floor = np.full(len(ids), -np.inf)  # the k-th best score so far
 
-    def block(self, ids: np.ndarray, vectors: np.ndarray) -> bool:
-        """Take in a block; false if it, and so every shorter one, can't change anything."""
+    def block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Take in a block."""
         rotated = vectors @ self.rotation
         norm = np.sqrt((rotated**2).sum(axis=1))
         slack = 1e-6 * (1 + self.norm * norm.max(initial=0))  # for rounding in the bounds; scores are exact
         open_ = np.flatnonzero(self.norm * norm.max(initial=0) + slack >= self.floor)
         if not open_.size:
-            return False
+            return
         rest = np.sqrt((rotated[:, self.lead :] ** 2).sum(axis=1))
         bound = self.first[open_] @ rotated[:, : self.lead].T + self.rest[open_, None] * rest
         may = bound + slack[open_, None] >= self.floor[open_, None]
         wanted, columns = may.any(axis=1), may.any(axis=0)
         open_, may = open_[wanted], may[np.ix_(wanted, columns)]
         if not open_.size:
-            return True
+            return
         scores, ids = _products(self.queries[open_], vectors[columns]), ids[columns]
         for row, q, ok in zip(scores, open_.tolist(), may, strict=True):
             take = np.flatnonzero(ok & (row >= self.floor[q]) & (ids != self.ids[q]))
@@ -126,7 +126,6 @@ class _Search:
                 self.found[q] = (s[best], i[best])
                 if len(best) == self.k:
                     self.floor[q] = max(self.floor[q], s[best[-1]])
-        return True
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -162,13 +161,13 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
 
         def search(batches, shared=shared):
             ids, matrix, rotation, floor = shared.value
-            s, more = _Search(ids, matrix, rotation, k), True
+            s = _Search(ids, matrix, rotation, k)
             s.floor = floor.copy()
+            # A task reads files in an order of Spark's: a short block says nothing of those after it.
             for batch in batches:
                 for i in range(0, batch.num_rows, VECTOR_BLOCK):
-                    if more:
-                        b = batch.slice(i, VECTOR_BLOCK)
-                        more = s.block(b.column("vec_id").to_numpy(), _matrix(b.column("v"), width))
+                    b = batch.slice(i, VECTOR_BLOCK)
+                    s.block(b.column("vec_id").to_numpy(), _matrix(b.column("v"), width))
             n = [len(x) for x, _ in s.found]
             scores, ids_ = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in zip(*s.found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(ids_), pa.array(scores)], names=schema.names)

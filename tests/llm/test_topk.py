@@ -35,6 +35,20 @@ def test_skewed_lengths_blocks_and_ties(spark):
     assert run(spark, rows, k=5, block=100) == brute(rows, 5, lambda i: i % 2 == 0)
 
 
+def test_a_task_that_meets_short_vectors_first(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=8) * (0.1 if i % 3 == 0 else 20)).tolist()) for i in range(300)]
+    real = topk.materialize
+
+    def ascending(df, name):
+        # Many small files that one task reads in ascending order of length.
+        return real(df.repartitionByRange(8, "norm2").sortWithinPartitions("norm2"), name).coalesce(1).sortWithinPartitions("norm2") if name == "topk-vectors" else real(df, name)
+
+    monkeypatch.setattr(topk, "materialize", ascending)
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 16)
+    assert run(spark, rows, k=5) == brute(rows, 5, lambda i: i % 2 == 0)
+
+
 def test_large_components(spark):
     rows = [(i, [float(2**20 + i), float(-(2**19) * i)]) for i in range(12)]
     assert run(spark, rows) == brute(rows, 3, lambda i: i % 2 == 0)

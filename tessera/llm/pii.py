@@ -45,7 +45,6 @@ class Bootstrap:
     min_support: int = 3  # different known identifiers after a pattern
     min_confidence: float = 0.6
     min_digits: int = 7
-    rounds: int = 3
 
 
 def _luhn(digits: Column) -> Column:
@@ -129,7 +128,7 @@ def bootstrap(docs: DataFrame, seen: DataFrame, settings: Bootstrap) -> DataFram
     known = seen.where("kind <> 'token' and context is not null").select("context", "hit", "kind", form_of.alias("form"))
     unknown = materialize(_unknown(seen, settings.min_digits), "pii-unknown")
     names = None  # identifiers found so far: hit, kind
-    for _ in range(settings.rounds):
+    while True:  # every round finds a token that wasn't known, or ends
         named = known if names is None else known.unionByName(unknown.join(names, "hit").where("context is not null").select("context", "hit", "kind", "form"))
         by_kind = named.groupBy("context", "form", "kind").agg(F.count("*").alias("n"), F.count_distinct("hit").alias("hits"))
         patterns = by_kind.groupBy("context", "form").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.sum("n").alias("n"), F.sum("hits").alias("support")).where(F.col("support") >= settings.min_support)
@@ -146,7 +145,7 @@ def bootstrap(docs: DataFrame, seen: DataFrame, settings: Bootstrap) -> DataFram
         found = materialize(found.where(F.col("score") >= settings.min_confidence).select("hit", "kind"), "pii-names")
         if found.isEmpty():
             break
-        names = found if names is None else names.unionByName(found)
+        names = found if names is None else materialize(names.unionByName(found), "pii-names")
     if names is None:
         return None
     return unknown.join(names, "hit").select("doc_id", "h", "kind", "start", "end")

@@ -62,6 +62,18 @@ def test_contexts_discover_unseen_forms(spark):
     assert texts[20] == "Some text. mailto: [EMAIL] and more" and texts[0] == "Please write. Mailto: [EMAIL] now and pay." and texts[22] == rows[8][1]
 
 
+def test_bootstrapping_goes_on_until_nothing_is_added(spark):
+    words = ["amber", "birch", "cedar", "delta", "ember", "fjord"]
+    texts = [f"see amber user{i}@host.example.com here" for i in range(6)]
+    for before, after in zip(words[:-1], words[1:], strict=True):
+        for who in "xyz":
+            # Only tokens that the word before leads to make the word after a pattern.
+            texts += [f"see {before} {who}{after}@intranet here", *[f"see {after} {who}{after}@intranet here"] * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert all(t.split(" ")[2] == "[EMAIL]" for t in got.values()) and len(got) == len(texts)
+
+
 def test_mask_overlaps_and_nulls(spark):
     df = spark.createDataFrame([(1, "é 10.0.0.1@x.org é", 5), (2, None, 5), (2, "plain", 6)], "doc_id long, text string, h int")
     got = sorted((r.doc_id, r.text or "", r.h) for r in pii.mask(df).collect())

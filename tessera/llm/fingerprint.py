@@ -2,9 +2,9 @@
 
 Operator 7, in DataFrame functions throughout. A paragraph (a line with
 something in it) is hashed to a wide vector: ``DENSE`` lanes of 32 bits from the
-whole paragraph, and ``BITS`` lanes of 16 bits that count, for each bit of the
+whole paragraph, and ``BITS`` lanes of 32 bits that count, for each bit of the
 64-bit hashes of the paragraph's word shingles, how often it is set, with one
-lane of 32 bits for the number of shingles. A document's fingerprint is the sum
+more lane for the number of shingles. A document's fingerprint is the sum
 of its paragraphs' vectors, each lane modulo its power of two. It doesn't
 depend on the paragraphs' order, and a paragraph is inserted or deleted by
 adding or subtracting its vector (``combine``).
@@ -25,7 +25,7 @@ DENSE = 8
 BITS = 64
 SHINGLE_WORDS = 3
 DENSE_MASK = (1 << 32) - 1
-BIT_MASK = (1 << 16) - 1
+BIT_MASK = (1 << 32) - 1
 PAIR_MASK = (1 << 32) | 1
 
 
@@ -68,7 +68,7 @@ def _lanes(prefix: str = "") -> list[tuple[Column, int]]:
 
     low = [c(f"b{i}").bitwiseAND(F.lit(BIT_MASK)) for i in range(BITS // 2)]
     high = [F.shiftrightunsigned(c(f"b{i}"), 32).bitwiseAND(F.lit(BIT_MASK)) for i in range(BITS // 2)]
-    return [*((c(f"d{i}").bitwiseAND(F.lit(DENSE_MASK)), 8) for i in range(DENSE)), (c("n").bitwiseAND(F.lit(DENSE_MASK)), 8), *((x, 4) for x in (*low, *high))]
+    return [*((c(f"d{i}").bitwiseAND(F.lit(DENSE_MASK)), 8) for i in range(DENSE)), (c("n").bitwiseAND(F.lit(DENSE_MASK)), 8), *((x, 8) for x in (*low, *high))]
 
 
 def _hex(prefix: str = "") -> Column:
@@ -80,7 +80,7 @@ def _centred_sums() -> Column:
     return F.array(*(_signed(x, lanes[DENSE][0]) for x, _ in lanes[DENSE + 1 :]))
 
 
-DIGITS = [8] * (DENSE + 1) + [4] * BITS
+DIGITS = [8] * (DENSE + 1 + BITS)
 
 
 def lanes_of(fingerprint: Column) -> list[Column]:
@@ -100,13 +100,13 @@ def combine(a: Column, b: Column, subtract: bool = False) -> Column:
 
 def _signed(x: Column, n: Column) -> Column:
     """A bit lane as a number around zero."""
-    return F.pmod(2 * x - n + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)
+    return F.pmod(2 * x - n + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
 
 
 def centred(fingerprint: Column) -> Column:
     """The bit lanes as numbers around zero, in an array."""
     n = F.conv(F.substring(fingerprint, 8 * DENSE + 1, 8), 16, 10).cast("long")
-    return F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: _signed(F.conv(F.substring(fingerprint, 4 * i + 8 * (DENSE + 1) + 1, F.lit(4)), 16, 10).cast("long"), n))
+    return F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: _signed(F.conv(F.substring(fingerprint, 8 * i + 8 * (DENSE + 1) + 1, F.lit(8)), 16, 10).cast("long"), n))
 
 
 def _dot(u: Column, v: Column) -> Column:

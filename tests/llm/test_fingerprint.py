@@ -20,6 +20,15 @@ def test_order_insertion_and_deletion(spark):
     assert r["sum"] == got[1] and r["diff"] == got[3] and r["same"] == 1.0
 
 
+def test_long_texts_of_one_paragraph(spark):
+    line = " ".join(f"word{i}" for i in range(102))
+    got = texts_of(spark, [(1, f"{line}\n" * 8000), (2, f"{line}\n" * 4000), (3, "one two three\n" * 40_000), (4, "one two three\n" * 20_000)])
+    pairs = spark.createDataFrame([(got[1], got[2]), (got[3], got[4])], "a string, b string")
+    assert all(r.x > 0.999 for r in pairs.select(fp.likeness(F.col("a"), F.col("b")).alias("x")).collect())
+    half = pairs.select(fp.combine(F.col("a"), F.col("b"), subtract=True).alias("d"), "b").collect()
+    assert all(r.d == r.b for r in half)
+
+
 def brute(rows):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []

@@ -7,8 +7,8 @@ them smallest is chosen. The margin over the runner-up is the score; where it
 is too narrow the text is rejected.
 
 The dictionaries come from a bounded sample: ``SAMPLE_DOCS`` documents a
-language or so, at most ``SAMPLE_CHARS`` characters long each, of which the
-first ``DICTIONARY_BYTES`` in hash order are used, and the ``MAX_LANGUAGES``
+language or so, at most ``SAMPLE_CHARS`` characters of each (of a longer one, from
+a place that a hash of the id names), of which the first ``DICTIONARY_BYTES`` in hash order are used, and the ``MAX_LANGUAGES``
 most frequent labels. Everything else covers all rows and whole texts.
 """
 
@@ -85,13 +85,15 @@ class LanguageModel:
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> LanguageModel:
-    """Dictionaries from rows with a label; rows with a null label or text teach nothing."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull())
+    """Dictionaries from rows with a label; rows with a null label, and null and empty texts, teach nothing and count for nothing."""
+    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     kept = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_DOCS) / F.col("n")).alias("share"))
     draw = F.xxhash64("doc_id")
     # At most MAX_LANGUAGES rows are broadcast; each language sends about 2 * SAMPLE_DOCS texts of bounded length to the driver.
-    drawn = rows.where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(kept), "lang").where(F.pmod(draw, F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    windows = rows.withColumn("text", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)))
+    drawn = windows.join(F.broadcast(kept), "lang").where(F.pmod(draw, F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
     texts: dict[str, list] = defaultdict(list)
     for r in drawn.select("lang", draw.alias("h"), "text").collect():
         texts[r.lang].append((r.h, r.text))

@@ -32,6 +32,16 @@ def test_odd_rows(spark):
     assert language.identify(df, language.LanguageModel({}), ["doc_id"]).where("lang_pred = 'und'").count() == len(rows)
 
 
+def test_long_texts_teach_too(spark):
+    en, de = "the cat and the dog went to the house ", "der hund und die katze gehen nach hause "
+    rows = [(i, en, "en") for i in range(30)] + [(100 + i, de * 1000, "de") for i in range(3)] + [(200 + i, None, "de") for i in range(5000)] + [(None, de * 1000, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    assert set(model.dictionaries) == {"en", "de"}
+    assert len(model.dictionaries["de"]) >= 4 * (language.SAMPLE_CHARS - 2)
+    assert model.classify(de)[0] == "de"
+
+
 def test_narrow_margins_are_rejected():
     model = language.LanguageModel({"a": b"one two three four five six " * 20, "b": b"one two three four five six " * 20})
     assert model.classify("one two three") == ("a", 0.0, True)

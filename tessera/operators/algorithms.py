@@ -32,7 +32,7 @@ def bfs(edges: DataFrame, start: int, max_rounds: int = 1000) -> DataFrame:
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise RuntimeError(f"nodes beyond {max_rounds} steps are left")
 
 
 def shortest_paths(edges: DataFrame, start: int, combine: Callable[[Column, Column], Column] = lambda d, c: d + c, zero: float = 0.0, max_rounds: int = 1000) -> DataFrame:
@@ -51,7 +51,7 @@ def shortest_paths(edges: DataFrame, start: int, combine: Callable[[Column, Colu
         if changed.isEmpty():
             return best
         best = materialize(best.join(changed.select("node"), "node", "left_anti").unionByName(changed), "paths-best")
-    return best
+    raise RuntimeError(f"distances didn't settle in {max_rounds} rounds")
 
 
 def trace_path(paths: DataFrame, start: int, end: int, max_rounds: int = 1000) -> DataFrame:

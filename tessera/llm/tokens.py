@@ -8,9 +8,9 @@ the ids, so that a reader of counts or of an id range touches little else.
 ``read_tokens`` reads it back.
 
 Texts are split before single spaces, where this tokenizer always begins a new
-word; a bounded memo per worker maps each piece to its ids, and the tokenizers
-library encodes what the memo lacks. Texts in which white space meets white
-space around a space are encoded whole, since the split is not safe there.
+word; a memo per worker, bounded in bytes, maps each piece to its ids, and the
+tokenizers library encodes what the memo lacks. Texts in which white space meets
+white space around a space are encoded whole, since the split is not safe there.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-MEMO_ENTRIES = 700_000
-SLICE_BYTES = 6 << 20
+MEMO_BYTES = 64 << 20  # of each of a worker's two memos
+ENTRY_BYTES = 150  # what Python adds to a memo's entry, besides its characters and ids
+SLICE_BYTES = 3 << 19
 
 #: Parquet settings: 16 MB row groups and 256 KB pages hold index entries fine enough to skip by; version 2 pages delta-encode the counts.
 FILE_OPTIONS = {
@@ -64,10 +65,22 @@ _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _UNSAFE = rf"{_SPACE} (?:{_SPACE}|\z)"
 
 
+class _Memo(dict):
+    """Ids by chunk; takes in no more once its bound of bytes is reached."""
+
+    def __init__(self, limit: int):
+        self.room = limit
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        if self.room > 0:
+            self.room -= sum(len(c) + len(x) for c, x in found.items()) + ENTRY_BYTES * len(found)
+            self.update(found)
+
+
 class ChunkEncoder:
     """Texts to ids, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str = VOCABULARY, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str = VOCABULARY, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,9 +91,8 @@ class ChunkEncoder:
         self.feeds = np.zeros(len(self.starts), bool)
         self.marks = dict(zip("\n,.", self._direct(list("\n,.")), strict=True)) | {"": b""}
         self.feeds[np.frombuffer(self.marks["\n"], "<u4")] = True
-        self.entries = entries
-        self.memo: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.memo = _Memo(memo_bytes)
+        self.bare = _Memo(memo_bytes)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,11 +115,10 @@ class ChunkEncoder:
         out.update(zip(odd, self._direct([lead + c for c in odd]), strict=True))
         return out
 
-    def _learn(self, memo: dict[str, bytes], wanted: set[str], by: str, ends: np.ndarray) -> dict[str, bytes]:
+    def _learn(self, memo: _Memo, wanted: set[str], by: str, ends: np.ndarray) -> dict[str, bytes]:
         """The wanted chunks' ids, from the memo or encoded now; the memo keeps them while it has room."""
         new = self._joined([c for c in wanted if c not in memo], by, ends)
-        if len(memo) < self.entries:
-            memo.update(new)
+        memo.keep(new)
         return new
 
     def _missing(self, chunks: list[str]) -> dict[str, bytes]:
@@ -145,8 +156,7 @@ class ChunkEncoder:
                 ids += marks["\n"] + (own.get(core) or fresh_bare[core]) + marks[tail]
             out[c] = ids
         out.update(zip(opaque, self._direct([" " + c for c in opaque]), strict=True))
-        if len(memo) < self.entries:
-            memo.update((c, x) for c, x in out.items() if "\n" not in c)
+        memo.keep({c: x for c, x in out.items() if c not in memo and "\n" not in c})
         out.update(fresh)
         return out
 
@@ -206,6 +216,7 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterat
     for batch in batches:
         for part in slices(batch, SLICE_BYTES):
             yield part, *encoder(path).encode(part.column("text").cast(pa.string()), end_id)
+        pa.default_memory_pool().release_unused()
 
 
 def list_bytes(column: pa.ListArray) -> Iterator[memoryview]:

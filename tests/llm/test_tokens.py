@@ -21,7 +21,7 @@ def brute(rows, path=tokens.VOCABULARY):
     return out
 
 
-ENCODER = tokens.ChunkEncoder(entries=50)
+ENCODER = tokens.ChunkEncoder(memo_bytes=10_000)
 
 
 @settings(max_examples=300, deadline=None)

@@ -10,7 +10,9 @@ the ids, so that a reader of counts or of an id range touches little else.
 Texts are split before single spaces, where this tokenizer always begins a new
 word; a memo per worker, bounded in bytes, maps each piece to its ids, and the
 tokenizers library encodes what the memo lacks. Texts in which white space meets
-white space around a space are encoded whole, since the split is not safe there.
+white space around a space are encoded whole, since the split is not safe there,
+and so are texts that hold the string of a special token, which the library
+takes for that token.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for piece, i in vocabulary.items() if piece[0] == "Ġ"]] = True
@@ -164,7 +166,10 @@ class ChunkEncoder:
         """The ids of all texts in a row, and where each text's begin, with the end of the last."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        whole = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)).tolist()
+        aside = pc.match_substring_regex(texts, _UNSAFE)
+        for x in self.special:
+            aside = pc.or_(aside, pc.match_substring(texts, x))
+        whole = np.flatnonzero(aside.to_numpy(zero_copy_only=False)).tolist()
         aside = texts.take(pa.array(whole, pa.int64()))
         if whole:
             mask = np.zeros(len(texts), bool)

@@ -39,7 +39,6 @@ def test_bins_are_nearly_full():
 
 def ids_of(text):
     t = Tokenizer.from_file(tokens.VOCABULARY)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -66,7 +65,7 @@ def check(got, rows, capacity):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (2, ""), (None, "null id"), (3, "word " * 500), (3, "word " * 500), (4, "a b c")]
+    rows = [(1, None), (2, ""), (2, ""), (None, "null id"), (3, "word " * 500), (3, "word " * 500), (4, "a b c"), (5, "x <|endoftext|> y")]
     df = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, length int, ids string")
     got = packing.pack_digests(df, capacity=64).collect()
     check(got, rows, 64)

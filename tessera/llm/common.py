@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,3 +47,35 @@ def slices(batch: pa.RecordBatch, chars: int, text: str = "text") -> Iterator[pa
 def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """With the id a key for a row: rows with the same id and text share it and are treated alike."""
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def boxed(df: DataFrame, *more: Column) -> DataFrame:
+    """The caller's row in one column, ``row``, so that no name of it can clash with those beside it; ``row.*`` gives it back."""
+    return df.select(F.struct(*columns(df)).alias("row"), *more)
+
+
+BITMAP_BITS = 1 << 26
+_ROW_BITS = 1 << 15
+
+
+def bitmap_of(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of hashed keys as 512 longs a row: BITMAP_BITS bits at most, so 8 MB, however many keys there are."""
+    at = F.pmod(F.col(key), F.lit(BITMAP_BITS))
+    words = keys.select((at / _ROW_BITS).cast("int").alias("bucket"), (at % _ROW_BITS / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bits"))
+    words = words.groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
+    found = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    return materialize(found.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(_ROW_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("words")), "bitmap")
+
+
+def in_bitmap(df: DataFrame, bitmap: DataFrame, key: str, others: bool = False) -> DataFrame:
+    """The rows whose key may be in the bitmap (``others``: those whose key surely isn't); what follows must still join exactly."""
+    at = F.pmod(F.col(key), F.lit(BITMAP_BITS))
+    b = bitmap.select(F.col("bucket").alias("__bitmap_bucket"), F.col("words").alias("__bitmap_words"))
+    joined = df.join(F.broadcast(b), (at / _ROW_BITS).cast("int") == F.col("__bitmap_bucket"), "left")
+    may = F.coalesce(F.getbit(F.get("__bitmap_words", (at % _ROW_BITS / 64).cast("int")), (at % 64).cast("int")) == 1, F.lit(False))
+    return joined.where(~may if others else may).drop("__bitmap_bucket", "__bitmap_words")

@@ -13,14 +13,19 @@ A shard's distinct segments become one suffix array by induced sorting: suffixes
 are classified by whether they are smaller than their right neighbour, the
 leftmost-smaller substrings are sorted and named by one induction, the string
 of names is sorted, and a second induction gives the array. Inductions go
-bucket by bucket, each bucket in array operations. The string of names has too
-many buckets for that and is sorted by doubling. Permuted common prefixes then
+bucket by bucket, each bucket in array operations. The string of names is sorted
+by recursion where the names are few; where they are many it has too many
+buckets for that and is sorted by doubling. Permuted common prefixes then
 need comparisons only where the characters before two neighbours differ, and
 drop by one from there. Windows with a common prefix of ``length`` or more are
 repeats.
 
-A shard of more than ``SHARD_BYTES`` distinct bytes is not put into one task:
-its windows are counted by 128-bit hash instead, which Spark can spread.
+No shard outgrows a task. Copies in a shard of more than ``SHARD_BYTES`` are
+first put together, one row a distinct segment with their number. If the distinct
+ones are too many still, the shard is cut by longer keys (``STEPS``): windows
+that start about as far before the shard's hashed string share more than that
+string, and the hash of all that they share names a smaller shard, which goes
+the same way. At the last step a shard holds one window.
 """
 
 from __future__ import annotations
@@ -38,7 +43,9 @@ from tessera.session import materialize
 
 LENGTH = 200
 KMER = 32
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 18
+STEPS = (21, 1)  # how far apart the windows of a cut shard start at most
+RECURSE_NAMES = 512
 ARRAY_BYTES = 1 << 20
 SLICE_BYTES = 1 << 20
 
@@ -116,6 +123,8 @@ def _is_smaller(s: np.ndarray) -> np.ndarray:
 
 def _spread(out: np.ndarray, at: np.ndarray, items: np.ndarray, chars: np.ndarray, step: int) -> None:
     """Put items into their characters' buckets in order, from ``at`` on, upwards or downwards."""
+    if at.size <= 1 << 16:
+        chars = chars.astype(np.uint16)  # numbers this short are sorted by radix, in linear time
     order = np.argsort(chars, kind="stable")
     c = chars[order]
     heads = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
@@ -204,6 +213,19 @@ def _ranks_by_doubling(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names, whose last is its unique smallest.
+
+    Names that all differ are their own order; few names are sorted by
+    recursion. With many, a recursion visits more buckets than there is work in
+    them, and they are sorted by doubling.
+    """
+    most = int(names.max()) + 1
+    if most == len(names):
+        return np.argsort(names)
+    return suffix_array(names) if most <= RECURSE_NAMES else _ranks_by_doubling(names)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Of a string of small non-negative integers whose last is its unique smallest."""
     n = len(s)
@@ -231,7 +253,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         left = left[equal & (size[a[left]] > t)]
     name = np.zeros(n, np.int64)
     name[ordered] = np.append(0, np.cumsum(~same))
-    return _induce(s, small, sizes, marks[_ranks_by_doubling(name[marks])])
+    return _induce(s, small, sizes, marks[_order_of_names(name[marks])])
 
 
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -370,18 +392,78 @@ def _flag(length: int):
     return rows
 
 
-WINDOW = T.StructType([T.StructField("w", T.BinaryType()), T.StructField("sid", T.BinaryType()), T.StructField("a", T.IntegerType()), T.StructField("n", T.IntegerType())])
+SPLIT = T.StructType([*(f for f in SEGMENT if f.name in ("hash", "sid", "seg", "n")), T.StructField("parent", T.BinaryType()), T.StructField("off", T.IntegerType()), T.StructField("kmer", T.IntegerType())])
+
 
+def _split(length: int, step: int):
+    """Segments cut where their windows' distance to the shard's hashed string passes a multiple of ``step``, under keys of all that the windows of a part share.
+
+    ``kmer``: the size of the string that ``hash`` names, at the place in the
+    segment that its own rows tell: where the smallest hash of that size is.
+    """
 
-def _windows(length: int):
     def rows(batches):
         for batch in batches:
-            for sid, seg, n in zip(*(batch.column(c).to_pylist() for c in ("sid", "seg", "n")), strict=True):
-                for i in range(0, len(seg) - length + 1, 8192):
-                    at = range(i, min(i + 8192, len(seg) - length + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(seg[k : k + length]) for k in at], pa.binary()), pa.array([sid] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array([n] * len(at), pa.int32())], names=WINDOW.names)
-
-    return rows
+            for hash_, sid, seg, n, kmer in zip(*(batch.column(c).to_pylist() for c in ("hash", "sid", "seg", "n", "kmer")), strict=True):
+                data = np.frombuffer(seg, np.uint8)
+                windows = len(data) - length + 1
+                low = _kmer_hashes(data, kmer)
+                anchors = np.flatnonzero(low == low.min())
+                # A window's distance is that to the first of those strings inside it.
+                start = np.arange(windows)
+                far = anchors[np.searchsorted(anchors, start)] - start
+                part = far // step
+                cut = np.append(0, np.flatnonzero((np.diff(part) != 0) | (np.diff(far) != -1)) + 1)
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), windows], strict=True):
+                    p = int(part[a])
+                    anchor = a + int(far[a])
+                    shared = seg[anchor - p * step : anchor - min(p * step + step - 1, length - kmer) + length]
+                    sub = seg[a : b - 1 + length]
+                    key = xxhash.xxh64_intdigest(shared, (hash_ + 31 * p + step) % (1 << 64)) - (1 << 63)
+                    yield key, xxhash.xxh128_digest(sub), sub, n, sid, a, kmer
+
+    def batches_of(batches):
+        out = []
+        for row in rows(batches):
+            out.append(row)
+            if len(out) == 512:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SPLIT_TYPES, strict=True)], names=SPLIT.names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SPLIT_TYPES, strict=True)], names=SPLIT.names)
+
+    return batches_of
+
+
+SPLIT_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+
+
+def _crowded(units: DataFrame, shard_bytes: int) -> DataFrame:
+    """The hashes of shards beyond the bound: one for each ``shard_bytes`` of segments at most. A written table, whose size Spark knows."""
+    return materialize(units.groupBy("hash").agg(F.sum(F.octet_length("seg")).alias("size")).where(F.col("size") > shard_bytes).select("hash"), "suffix-crowded")
+
+
+def _arrays(units: DataFrame, length: int) -> DataFrame:
+    return units.repartition("hash").sortWithinPartitions("hash", "sid").mapInArrow(_flag(length), FLAGGED)
+
+
+def repeated_in_shards(units: DataFrame, length: int = LENGTH, kmer: int = KMER, shard_bytes: int = SHARD_BYTES, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """sid, a, b: runs of windows of a segment that start elsewhere too. ``units``: hash, sid, seg, n, the same segment any number of times."""
+    crowded = _crowded(units, shard_bytes)
+    found = _arrays(units.join(crowded, "hash", "left_anti"), length)
+    if crowded.isEmpty():
+        return found
+    # Copies meet in a partial aggregate before any shuffle.
+    distinct = materialize(units.join(crowded, "hash", "left_semi").groupBy("hash", "sid").agg(F.first("seg").alias("seg"), F.sum("n").cast("int").alias("n")), "suffix-distinct")
+    still = _crowded(distinct, shard_bytes) if steps else None
+    if still is None or still.isEmpty():
+        return found.union(_arrays(distinct, length))
+    found = found.union(_arrays(distinct.join(still, "hash", "left_anti"), length))
+    parts = distinct.join(still, "hash", "left_semi").withColumn("kmer", F.lit(kmer)).mapInArrow(_split(length, steps[0]), SPLIT)
+    parts = materialize(parts, "suffix-parts")
+    inner = repeated_in_shards(parts.select("hash", "sid", "seg", "n"), length, kmer, shard_bytes, steps[1:])
+    back = parts.select("sid", "parent", "off").join(inner, "sid").select(F.col("parent").alias("sid"), (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b"))
+    return found.union(back)
 
 
 def _keep(length: int):
@@ -429,13 +511,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = docs.mapInArrow(_pack, PACKED)
     with_texts = packed.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h"))).select("d.doc_id", "d.h", "d.z", "c.found")
     cut = materialize(with_texts.mapInArrow(_cut(length), SEGMENT), "suffix-segments")
-    bytes_ = cut.where("seg is not null").select("hash", "sid", "seg", "n")
-    # Few shards are beyond the bound: one for each ``shard_bytes`` of segments at most. As a written table they have a size that Spark knows, and may broadcast.
-    large = materialize(bytes_.groupBy("hash").agg(F.sum(F.octet_length("seg")).alias("size")).where(F.col("size") > shard_bytes).select("hash"), "suffix-large")
-    arrays = bytes_.join(large, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash", "sid").mapInArrow(_flag(length), FLAGGED)
-    windows = bytes_.join(large, "hash", "left_semi").select("sid", "seg", "n").mapInArrow(_windows(length), WINDOW)
-    often = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    flagged = arrays.union(windows.join(often, "w", "left_semi").select("sid", "a", F.col("a").alias("b"))).distinct()
+    flagged = repeated_in_shards(cut.where("seg is not null").select("hash", "sid", "seg", "n"), length, kmer, shard_bytes).distinct()
     found = cut.select("sid", "doc_id", "h", "at").join(flagged, "sid").select("doc_id", "h", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     by_doc = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("found"))
     joined = packed.alias("d").join(by_doc.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left").select("d.doc_id", "d.z", "f.found")

@@ -68,6 +68,27 @@ def test_odd_rows(spark):
     assert run(spark, [], length=40, kmer=8) == []
 
 
+def test_crowded_shards_are_cut(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = word(30)  # one hashed string amid texts that differ, some of them after 30, 60 or 90 characters
+    tails, heads = [word(100) for _ in range(4)], [word(100) for _ in range(4)]
+    rows = [(i, rng.choice(heads)[rng.randrange(100) :] + common + rng.choice(tails)[: rng.randrange(100)] + word(20)) for i in range(400)]
+    seen, split = [], suffix._split
+    monkeypatch.setattr(suffix, "_split", lambda length, step: seen.append(step) or split(length, step))
+    assert run(spark, rows, length=60, kmer=8, shard_bytes=1500) == brute(rows, 60)
+    assert seen == [21, 1]
+
+
+def test_a_passage_in_20000_documents_and_a_long_text(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = word(240)
+    rows = [(i, word(5) + passage + str(i)) for i in range(20_000)]
+    rows.append((20_000, word(1_000_000) + passage[20:] + word(100_000)))
+    assert run(spark, rows) == brute(rows, 200)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -8,8 +8,12 @@ vectors is left out where length times length can't reach that score, then
 where a leading partial sum plus the lengths of both remainders can't
 (Cauchy-Schwarz), and only what is left is scored, exactly, in integers.
 
-Queries are a stated set. They go through in blocks of bounded size, each
-against all vectors, so neither the driver nor a broadcast holds more than one.
+Queries are a stated set. They go through in blocks of ``QUERY_BYTES``, each
+against all vectors in one job, so neither the driver nor a broadcast holds more
+than one, and a pass over the vectors serves as many queries as that allows.
+
+Components and scores are longs and end at a long's bounds: what lies beyond
+counts as the bound, in ranks too.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from tessera.session import materialize
 
 K = 20
 SCALE = 64.0
-QUERY_BLOCK = 8192
+QUERY_BYTES = 32 << 20
+QUERY_ROWS = 4096  # of a block's queries, met by VECTOR_BLOCK vectors at a time
 VECTOR_BLOCK = 1024
 SEED_VECTORS = 2048
 LEADING = 0.25
@@ -40,6 +45,7 @@ def quantized(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     x = F.col(vector_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False))
     v = F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("long"))
+    v = F.transform(v, lambda c: F.greatest(c, F.lit(-_LONG)))
     length = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     return df.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).withColumn("norm2", length)
 
@@ -53,12 +59,36 @@ def _matrix(column, width: int) -> np.ndarray:
     return out
 
 
+_LONG = (1 << 63) - 1
+_LIMB = 16
+
+
+def _limbs(a: np.ndarray) -> list[np.ndarray]:
+    """The numbers as four limbs of 16 bits, the last one signed."""
+    return [((a >> (_LIMB * k)) & 0xFFFF if k < 3 else a >> (_LIMB * k)).astype(np.float64) for k in range(4)]
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows of a and b."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Integer inner products of all rows of a and b, exact between a long's bounds and the bound beyond them."""
+    wide = a.astype(np.float64), b.astype(np.float64)
+    bound = float(np.abs(wide[0]).max(initial=0)) * float(np.abs(wide[1]).max(initial=0)) * max(1, a.shape[1])
+    rough = wide[0] @ wide[1].T
     if bound < 2.0**53:  # every partial sum is exact in double precision
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.array([[sum(int(x) * int(y) for x, y in zip(r, s, strict=True)) for s in b] for r in a], dtype=object).astype(np.int64)
+        return rough.astype(np.int64)
+    # Limbs' products are exact in double precision; their sum, modulo 2 ** 64, is the product where that is a long.
+    total = np.zeros(rough.shape, np.uint64)
+    for i, x in enumerate(_limbs(a)):
+        for j, y in enumerate(_limbs(b)):
+            if i + j < 4:
+                total += (x @ y.T).astype(np.int64).astype(np.uint64) << np.uint64(_LIMB * (i + j))
+    out = total.view(np.int64)
+    # ``rough`` is off by no more than this; what it leaves open is decided one by one.
+    off = np.abs(wide[0]) @ np.abs(wide[1]).T * (1e-15 * max(1, a.shape[1])) + 1e4
+    out[rough - off > _LONG] = _LONG
+    out[rough + off < -_LONG] = -_LONG
+    for i, j in np.argwhere((np.abs(np.abs(rough) - 2.0**63) <= off)).tolist():
+        out[i, j] = max(-_LONG, min(_LONG, sum(int(x) * int(y) for x, y in zip(a[i], b[j], strict=True))))
+    return out
 
 
 def _rotation(vectors: DataFrame, width: int) -> np.ndarray:
@@ -107,10 +137,12 @@ class _Search:
         rotated = vectors @ self.rotation
         norm = np.sqrt((rotated**2).sum(axis=1))
         slack = 1e-6 * (1 + self.norm * norm.max(initial=0))  # for rounding in the bounds; scores are exact
-        open_ = np.flatnonzero(self.norm * norm.max(initial=0) + slack >= self.floor)
-        if not open_.size:
-            return
+        within = np.flatnonzero(self.norm * norm.max(initial=0) + slack >= self.floor)
         rest = np.sqrt((rotated[:, self.lead :] ** 2).sum(axis=1))
+        for i in range(0, len(within), QUERY_ROWS):
+            self._score(within[i : i + QUERY_ROWS], slack, ids, vectors, rotated, rest)
+
+    def _score(self, open_: np.ndarray, slack: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, rest: np.ndarray) -> None:
         bound = self.first[open_] @ rotated[:, : self.lead].T + self.rest[open_, None] * rest
         may = bound + slack[open_, None] >= self.floor[open_, None]
         wanted, columns = may.any(axis=1), may.any(axis=0)
@@ -128,39 +160,43 @@ class _Search:
                     self.floor[q] = max(self.floor[q], s[best[-1]])
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all vectors but itself.
 
     ``is_query`` is a condition on vec_id. Scores are exact integer products of
     quantized vectors; ties go to the smaller id, and repeated ids compete as
-    rows of their own, but never against a query with their id. Shorter vectors
-    count as filled up with zeros. Queries with fewer than k candidates get
+    rows of their own, and are queries of their own, but never meet a query with
+    their id. Components and
+    scores beyond a long count as its bound. Shorter vectors count as filled up with zeros. Queries with fewer than k candidates get
     them all; without vectors or queries the result is empty.
     """
     spark = vectors.sparkSession
     rows = materialize(quantized(vectors, id_col, vector_col, scale).repartitionByRange(F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id"), "topk-vectors")
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     rotation = _rotation(rows, width)
     seeds = rows.orderBy(F.desc("norm2"), "vec_id").limit(SEED_VECTORS).select("vec_id", "v").toArrow()
     seed_ids, seed_vectors = seeds.column("vec_id").to_numpy(), _matrix(seeds.column("v").combine_chunks(), width)
-    queries = materialize(rows.where(is_query("vec_id")).select("vec_id", "v").repartitionByRange("vec_id").sortWithinPartitions("vec_id"), "topk-queries")
-    blocks = -(-queries.count() // query_block)
-    # Each block's bounds come from a quantile of the ids, so a block holds about ``query_block`` queries.
-    cuts = [None, *([] if blocks < 2 else queries.stat.approxQuantile("vec_id", [i / blocks for i in range(1, blocks)], 0.1 / blocks)), None]
+    placed = F.monotonically_increasing_id().alias("place")  # a task's number in the upper 31 bits, and the row's in the task
+    queries = materialize(rows.where(is_query("vec_id")).select("vec_id", "v", placed), "topk-queries")
+    # One row for each task that wrote queries says where every block of them begins.
+    sizes = sorted((r.task, r.n) for r in queries.groupBy(F.shiftright("place", 33).alias("task")).agg(F.count("*").alias("n")).collect())
+    block, seen, cuts = max(1, query_bytes // (8 * max(1, width))), 0, []
+    for task, n in sizes:
+        cuts += [(task << 33) + at for at in range(-seen % block, n, block)]
+        seen += n
     found = None
-    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-        part = queries.where((F.lit(True) if low is None else F.col("vec_id") > int(low)) & (F.lit(True) if high is None else F.col("vec_id") <= int(high))).toArrow()
-        if not part.num_rows:
-            continue
+    for low, high in zip(cuts, [*cuts, _LONG][1:], strict=True):
+        part = queries.where((F.col("place") >= low) & (F.col("place") < high)).select("vec_id", "v", "place").toArrow()
+        places = part.column("place").to_numpy()
         ids, matrix = part.column("vec_id").to_numpy(), _matrix(part.column("v").combine_chunks(), width)
         first = _Search(ids, matrix, rotation, k)
         for i in range(0, len(seed_ids), VECTOR_BLOCK):
             first.block(seed_ids[i : i + VECTOR_BLOCK], seed_vectors[i : i + VECTOR_BLOCK])
-        shared = spark.sparkContext.broadcast((ids, matrix, rotation, first.floor))
+        shared = spark.sparkContext.broadcast((places, ids, matrix, rotation, first.floor))
 
         def search(batches, shared=shared):
-            ids, matrix, rotation, floor = shared.value
+            places, ids, matrix, rotation, floor = shared.value
             s = _Search(ids, matrix, rotation, k)
             s.floor = floor.copy()
             # A task reads files in an order of Spark's: a short block says nothing of those after it.
@@ -170,11 +206,11 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
                     s.block(b.column("vec_id").to_numpy(), _matrix(b.column("v"), width))
             n = [len(x) for x, _ in s.found]
             scores, ids_ = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in zip(*s.found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(ids_), pa.array(scores)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(places, n)), pa.array(np.repeat(ids, n)), pa.array(ids_), pa.array(scores)], names=schema.names)
 
         best = rows.select("vec_id", "v").mapInArrow(search, schema)
         # A query has at most k rows from each task.
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "vec_id"))
         ranked = best.withColumn("rank", rank).where(F.col("rank") <= k)
         ranked = materialize(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "topk-block")
         found = ranked if found is None else found.unionByName(ranked)

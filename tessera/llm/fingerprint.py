@@ -1,17 +1,18 @@
 """Document fingerprints as homomorphic multiset hashes of paragraphs.
 
 Operator 7, in DataFrame functions throughout. A paragraph (a line with
-something in it) is hashed to a wide vector: ``DENSE`` lanes of 32 bits from the
-whole paragraph, and ``BITS`` lanes of 32 bits that count, for each bit of the
-64-bit hashes of the paragraph's word shingles, how often it is set, with one
-more lane for the number of shingles. A document's fingerprint is the sum
+something in it) is hashed to a wide vector: ``DENSE`` lanes of 32 bits from
+hashes of the whole paragraph under different seeds, and ``BITS`` lanes of 32
+bits that count, for each bit of two 64-bit hashes of the paragraph's word
+shingles, how often it is set, with one more lane for the number of shingles. A document's fingerprint is the sum
 of its paragraphs' vectors, each lane modulo its power of two. It doesn't
 depend on the paragraphs' order, and a paragraph is inserted or deleted by
 adding or subtracting its vector (``combine``).
 
 Equality is decided by all lanes. Likeness is the cosine of the two documents'
 bit lanes, centred by the number of shingles: the expected value is that of the
-documents' shingle counts, since each hash bit is a random sign.
+documents' shingle counts, since each hash bit is a random sign. Its standard
+error is about 1 / sqrt(BITS), 0.09.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import id_and_text
 
 DENSE = 8
-BITS = 64
+BITS = 128
 SHINGLE_WORDS = 3
 DENSE_MASK = (1 << 32) - 1
 BIT_MASK = (1 << 32) - 1
@@ -34,15 +35,16 @@ def _paragraphs(text: Column) -> Column:
 
 
 def _features(text: Column) -> Column:
-    """(dense, hash) structs: one with the paragraph's own hash and a null, and one a shingle with a null and its hash."""
+    """(d0 .. d3, h) structs: one with the paragraph's own hashes and a null, and one a shingle with nulls and its hash."""
+    none = F.lit(None).cast("long")
 
     def of(p: Column) -> Column:
         words = p["words"]
         starts = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE_WORDS, F.lit(0)))
         shingles = F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE_WORDS))))
         return F.concat(
-            F.array(F.struct(F.xxhash64(p["text"]).alias("dense"), F.lit(None).cast("long").alias("h"))),
-            F.transform(shingles, lambda h: F.struct(F.lit(None).cast("long").alias("dense"), h.alias("h"))),
+            F.array(F.struct(*(F.xxhash64(F.lit(i), p["text"]).alias(f"d{i}") for i in range(DENSE // 2)), none.alias("h"))),
+            F.transform(shingles, lambda h: F.struct(*(none.alias(f"d{i}") for i in range(DENSE // 2)), h.alias("h"))),
         )
 
     # Words end at single spaces. They are bound here, once a paragraph, so that the shingles don't split it again.
@@ -55,8 +57,9 @@ SUM_COLUMNS = [*(f"d{i}" for i in range(DENSE)), "n", *(f"b{i}" for i in range(B
 
 
 def _sums() -> list[Column]:
-    dense = [F.sum(F.xxhash64(F.lit(i), F.col("f.dense")).bitwiseAND(F.lit(DENSE_MASK)) * F.col("f.dense").isNotNull().cast("long")).alias(f"d{i}") for i in range(DENSE)]
-    pairs = [F.sum(F.coalesce(F.shiftrightunsigned(F.col("f.h"), i).bitwiseAND(F.lit(PAIR_MASK)), F.lit(0))).alias(f"b{i}") for i in range(BITS // 2)]
+    dense = [F.sum(F.coalesce(F.shiftrightunsigned(F.col(f"f.d{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(DENSE_MASK)), F.lit(0))).alias(f"d{i}") for i in range(DENSE)]
+    hashes = [F.col("f.h"), *(F.col(f"h{k}") for k in range(1, BITS // 64))]
+    pairs = [F.sum(F.coalesce(F.shiftrightunsigned(hashes[i // 32], i % 32).bitwiseAND(F.lit(PAIR_MASK)), F.lit(0))).alias(f"b{i}") for i in range(BITS // 2)]
     return [*dense, F.count("f.h").alias("n"), *pairs]
 
 
@@ -131,7 +134,8 @@ def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text") -> Data
     their fingerprint is zero. Shingles meet their sums before any shuffle.
     """
     parts = df.select(*keys, F.explode_outer(_features(F.coalesce(F.col(text_col), F.lit("")))).alias("f"))
-    return parts.groupBy(*keys).agg(*_sums()).select(*keys, _hex().alias("fingerprint"), _centred_sums().alias("centred"))
+    more = {f"h{k}": F.when(F.col("f.h").isNotNull(), F.xxhash64(F.lit(k), F.col("f.h"))) for k in range(1, BITS // 64)}
+    return parts.withColumns(more).groupBy(*keys).agg(*_sums()).select(*keys, _hex().alias("fingerprint"), _centred_sums().alias("centred"))
 
 
 def _bucket_of(bounds: list[int], value: Column) -> Column:

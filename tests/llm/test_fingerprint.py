@@ -1,6 +1,9 @@
 import hashlib
+import math
 import statistics
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import fingerprint as fp
@@ -29,6 +32,77 @@ def test_long_texts_of_one_paragraph(spark):
     assert all(r.d == r.b for r in half)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64: each value is hashed with the hash of those before it as seed; nulls are passed over."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, int) and not isinstance(v, Long) else "<q", v), seed)
+    return seed
+
+
+class Long(int):
+    pass
+
+
+def brute_lanes(text):
+    dense, n, ones = [0] * fp.DENSE, 0, [0] * fp.BITS
+    for p in (text or "").split("\n"):
+        if p.strip(" "):
+            for i in range(fp.DENSE):
+                dense[i] += spark_hash(i // 2, p) >> (32 * (i % 2)) & 0xFFFFFFFF
+            w = p.split(" ")
+            for i in range(max(len(w) - 2, 1)):
+                h = spark_hash(*w[i : i + 3])
+                h -= (h >> 63) << 64
+                n += 1
+                for k in range(fp.BITS // 64):
+                    g = h % 2**64 if not k else spark_hash(k, Long(h))
+                    for b in range(64):
+                        ones[64 * k + b] += g >> b & 1
+    return [x % 2**32 for x in dense], n, ones
+
+
+def brute_fingerprint(text):
+    dense, n, ones = brute_lanes(text)
+    low = [ones[64 * k + b] for k in range(fp.BITS // 64) for b in range(32)]
+    high = [ones[64 * k + b] for k in range(fp.BITS // 64) for b in range(32, 64)]
+    return "".join(f"{x:08x}" for x in (*dense, n, *low, *high))
+
+
+def brute_likeness(a, b):
+    if brute_fingerprint(a) == brute_fingerprint(b):
+        return 1.0
+    u, v = ([2 * x - n for x in ones] for _, n, ones in (brute_lanes(a), brute_lanes(b)))
+    norms = math.sqrt(sum(x * x for x in u) * sum(x * x for x in v))
+    return min(1.0, max(0.0, sum(x * y for x, y in zip(u, v, strict=True)) / norms)) if norms else 0.0
+
+
+def test_fingerprints_and_likeness_against_brute_force(spark, tmp_path):
+    docs = [(r.doc_id, (r.text or "")[:600]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    docs += [(10_000, ""), (10_001, None), (10_002, "one\n\ntwo three"), (10_003, "one\n\ntwo three")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in fp.op7_fingerprint(spark, str(tmp_path)).collect()}
+    docs.sort()
+    for i, (d, t) in enumerate(docs):
+        t, nxt = t or "", docs[(i + 1) % len(docs)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        r = got[d]
+        assert r.fingerprint == brute_fingerprint(t) and r.edited_fingerprint == brute_fingerprint(edited)
+        assert abs(r.near_edited - brute_likeness(t, edited)) < 1e-9 and abs(r.near_next - brute_likeness(t, nxt)) < 1e-9
+
+
+def test_standard_error_of_the_likeness(spark):
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for k in range(60):  # half of the shingles of each pair are shared
+        w = [words[(37 * k + 11 * i * (k + 1)) % 4000] for i in range(202)]
+        rows += [(2 * k, " ".join(w[:102]) + "\n" + " ".join(f"a{k}x{i}" for i in range(102))), (2 * k + 1, " ".join(w[:102]) + "\n" + " ".join(f"b{k}x{i}" for i in range(102)))]
+    got = texts_of(spark, rows)
+    pairs = spark.createDataFrame([(got[2 * k], got[2 * k + 1]) for k in range(60)], "a string, b string")
+    found = [r.x for r in pairs.select(fp.likeness(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert abs(statistics.mean(found) - 0.5) < 0.04 and statistics.stdev(found) < 0.12
+
+
 def brute(rows):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []

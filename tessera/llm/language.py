@@ -6,10 +6,13 @@ language's dictionary, block by block, and the language whose dictionary makes
 them smallest is chosen. The margin over the runner-up is the score; where it
 is too narrow the text is rejected.
 
-The dictionaries come from a bounded sample: ``SAMPLE_DOCS`` documents a
-language or so, at most ``SAMPLE_CHARS`` characters of each (of a longer one, from
-a place that a hash of the id names), of which the first ``DICTIONARY_BYTES`` in hash order are used, and the ``MAX_LANGUAGES``
-most frequent labels. Everything else covers all rows and whole texts.
+The dictionaries come from a bounded sample: about ``SAMPLE_DOCS`` documents a
+language, a window of at most ``SAMPLE_CHARS`` characters of each (of a longer
+one, from a place that a hash of the row names), of which the first
+``DICTIONARY_BYTES`` in hash order are used. All languages' samples together have
+about ``SAMPLE_TOTAL`` characters at most: with many languages each one's windows
+are shorter, and none is left out. Everything else covers all rows and whole
+texts.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import slices, small_batches
 
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 800
 SAMPLE_CHARS = 20_000
+SAMPLE_TOTAL = 64_000_000
+MIN_CHARS = 500  # of a window, however many languages there are
 DICTIONARY_BYTES = 256 << 10
-MAX_LANGUAGES = 256
 LEVEL = 5
 BLOCK_BYTES = 16 << 10
 MIN_MARGIN = 0.004
@@ -87,15 +91,18 @@ class LanguageModel:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> LanguageModel:
     """Dictionaries from rows with a label; rows with a null label, and null and empty texts, teach nothing and count for nothing."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    kept = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_DOCS) / F.col("n")).alias("share"))
-    draw = F.xxhash64("doc_id")
-    # At most MAX_LANGUAGES rows are broadcast; each language sends about 2 * SAMPLE_DOCS texts of bounded length to the driver.
-    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    windows = rows.withColumn("text", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)))
-    drawn = windows.join(F.broadcast(kept), "lang").where(F.pmod(draw, F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # As many rows as there are languages; each language sends about SAMPLE_DOCS windows to the driver.
+    n_languages = max(1, counts.count())
+    docs = max(8, min(SAMPLE_DOCS, SAMPLE_TOTAL // (n_languages * MIN_CHARS)))
+    chars = max(MIN_CHARS, min(SAMPLE_CHARS, SAMPLE_TOTAL // (n_languages * docs)))
+    kept = counts.select("lang", F.least(F.lit(1.0), F.lit(float(docs)) / F.col("n")).alias("share"))
+    draw = F.xxhash64("doc_id", "text")  # rows that repeat an id are drawn apart
+    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    drawn = rows.join(F.broadcast(kept), "lang").where(F.pmod(draw, F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
+    windows = drawn.select("lang", draw.alias("h"), F.substring(F.col("text"), start, F.lit(chars)).alias("text")).distinct()
     texts: dict[str, list] = defaultdict(list)
-    for r in drawn.select("lang", draw.alias("h"), "text").collect():
+    for r in windows.collect():
         texts[r.lang].append((r.h, r.text))
     content = {}
     for lang, found in sorted(texts.items()):
@@ -104,28 +111,31 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             held += letters(text) + b" "
             if len(held) >= DICTIONARY_BYTES:
                 break
-        if len(held.strip()) >= 8:  # zstandard takes no shorter dictionary
+        if held.strip():
+            while len(held) < 8:  # zstandard takes no shorter dictionary
+                held += held
             content[lang] = held[:DICTIONARY_BYTES]
     return LanguageModel(content, **options)
 
 
 def identify(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep``, lang_pred, score and rejected, for every row; only the text decides.
+    """``keep``, lang_pred, score and rejected, for every row; only the text decides. ``keep`` names columns of ``df``.
 
     Repeated rows get the same answer; an empty table gives an empty result.
     """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    found = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    kept = df.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in keep)).alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType([kept.schema["row"], *found.fields])
 
     def rows(batches):
         for batch in batches:
-            for part in slices(batch, 4 << 20, "__text"):
-                found = [shared.value.classify(x) for x in part.column("__text").to_pylist()]
-                lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
+            for part in slices(batch, 4 << 20):
+                lang, score, rejected = zip(*map(shared.value.classify, part.column("text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(rows, schema)
+    return kept.mapInArrow(rows, schema).select("row.*", *found.names)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -22,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bitmap_of, boxed, in_bitmap
 from tessera.session import materialize
 
 MIN_WORDS = 5
-FILTER_BITS = 1 << 26
-_BITMAP_BITS = 1 << 15  # of one of Spark's bitmaps
 
 
 def _normal(line: Column) -> Column:
@@ -47,29 +46,13 @@ def _halves(line: Column, n: Column) -> list[Column]:
     return out
 
 
-def _filter_of(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of hashed keys: FILTER_BITS bits at most, so 8 MB, however many keys there are."""
-    at = F.pmod(F.col(key), F.lit(FILTER_BITS))
-    bits = keys.select((at / _BITMAP_BITS).cast("int").alias("__bucket"), (at % _BITMAP_BITS).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    return materialize(bits, "line-filter")
-
-
-def _filtered(df: DataFrame, bitmap: DataFrame, key: str, keep_others: bool = False) -> DataFrame:
-    """The rows whose key may be in the bitmap (or those whose key surely isn't); what follows must still join exactly."""
-    at = F.pmod(F.col(key), F.lit(FILTER_BITS))
-    joined = df.withColumn("__bucket", (at / _BITMAP_BITS).cast("int")).join(F.broadcast(bitmap), "__bucket", "left")
-    byte = F.conv(F.hex(F.substring("__bits", (at % _BITMAP_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    may = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int"))) > 0, F.lit(False))
-    return joined.where(~may if keep_others else may).select(df.columns)
-
-
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """v, h, pos, near for each line that goes; near is false for repeats of a line. (v, h) is the document."""
     at = docs.select("v", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.col("line")
     lines = at.select("v", "h", "pos", _normal(line).alias("line")).where("line <> ''")
     counted = lines.select("v", "h", "pos", "line", (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("n"))
-    halves = [F.when(F.col("n") >= MIN_WORDS, x).alias(f"half{i}") for i, x in enumerate(_halves(line, F.col("n")))]
+    halves = [F.when(F.col("n") >= min_words, x).alias(f"half{i}") for i, x in enumerate(_halves(line, F.col("n")))]
     seen = materialize(counted.select("v", "h", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), *halves), "line-keys")
     order = F.struct("v", "h", "pos")
     names = [f"half{i}" for i in range(4)]
@@ -77,10 +60,10 @@ def removals(docs: DataFrame) -> DataFrame:
 
     keyed = distinct.select("k1", "k2", F.explode(F.array(*names)).alias("half")).where("half is not null")
     shared = materialize(keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "line-halves")
-    candidates = _filtered(keyed, _filter_of(shared, "half"), "half").join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    candidates = in_bitmap(keyed, bitmap_of(shared, "half"), "half").join(shared, "half", "left_semi").select("k1", "k2").distinct()
     # The candidates' words come from where each line stands first, one list of positions for a document.
     places = materialize(distinct.select("k1", "k2", "first").join(candidates, ["k1", "k2"], "left_semi").select("first.*").groupBy("v", "h").agg(F.collect_set("pos").alias("wanted")), "line-places")
-    texts = places.join(_filtered(docs, _filter_of(places, "h"), "h"), ["v", "h"]).select("v", "h", "wanted", F.split("text", "\n").alias("lines"))
+    texts = places.join(in_bitmap(docs, bitmap_of(places, "h"), "h"), ["v", "h"]).select("v", "h", "wanted", F.split("text", "\n").alias("lines"))
     wanted = texts.select("v", "h", F.explode("wanted").alias("pos"), "lines").select(F.struct("v", "h", "pos").alias("first"), F.split(_normal(F.element_at("lines", F.col("pos") + 1)), " ").alias("words"))
     # Rows that repeat a document give the same line again.
     wanted = materialize(wanted.groupBy("first").agg(F.max("words").alias("words")), "line-candidates")
@@ -115,7 +98,7 @@ def removals(docs: DataFrame) -> DataFrame:
     # Of the lines that stand more than once all but the first go, and the first of those that have an earlier neighbour.
     near = near.withColumn("near", F.lit(True))
     affected = materialize(distinct.select("k1", "k2", "n", "first").join(near, "first", "left").where(F.col("near") | (F.col("n") > 1)).select("k1", "k2", "first", "near"), "line-affected")
-    places = _filtered(seen.select("v", "h", "pos", "k1", "k2"), _filter_of(affected, "k1"), "k1")
+    places = in_bitmap(seen.select("v", "h", "pos", "k1", "k2"), bitmap_of(affected, "k1"), "k1")
     return places.join(affected, ["k1", "k2"]).where((order != F.col("first")) | F.col("near")).select("v", "h", "pos", (order == F.col("first")).alias("near"))
 
 
@@ -129,37 +112,40 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.abs(n - m) <= 1) & (head + tail >= F.greatest(n, m) - 1)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without repeated and near-duplicate lines in its texts, and with __lines, __repeated and __near, the lines there were and went.
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """row, lines, repeated, near: ``df``'s rows as structs, without repeated and near-duplicate lines in their texts, and how many lines there were, and went.
 
-    Lines end at line feeds; those without a word always stay. A null text
-    stays null. Rows that repeat a document, id and text, are treated alike, as
-    one. Null ids come first, as id 0. A document can lose all its lines.
+    Lines end at line feeds; those without a word always stay, and those of
+    fewer than ``min_words`` words only go as repeats. A null text stays null.
+    Rows that repeat a document, id and text, are treated alike, as one. Null
+    ids come before all others. A document can lose all its lines.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.withColumn("__v", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("__h", F.xxhash64(F.col(id_col).cast("long"), text))
-    docs = keyed.select(F.col("__v").alias("v"), F.col("__h").alias("h"), text.alias("text"))
-    gone = removals(docs).distinct().groupBy("v", "h").agg(F.collect_set("pos").alias("gone"), F.count_if("near").alias("near"))
-    g = materialize(gone.select(F.col("v").alias("__v"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("near").alias("__near")), "line-gone")
-    bitmap = _filter_of(g, "__h")
+    # Nulls sort first in structs too.
+    keyed = boxed(df, F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).cast("long").alias("id")).alias("v"), F.xxhash64(F.col(id_col).cast("long"), text).alias("h"))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    docs = keyed.select(F.struct("v.known", F.coalesce("v.id", F.lit(0)).alias("id")).alias("v"), "h", text.alias("text"))
+    gone = removals(docs, min_words).distinct().groupBy("v", "h").agg(F.collect_set("pos").alias("gone"), F.count_if("near").alias("near"))
+    g = materialize(gone, "line-gone")
+    bitmap = bitmap_of(g, "h")
+    keyed = keyed.withColumn("v", F.struct("v.known", F.coalesce("v.id", F.lit(0)).alias("id")))
     # Documents that lose nothing stay where they are; only the others' texts are shuffled to meet their lists.
-    touched = _filtered(keyed, bitmap, "__h").join(g, ["__v", "__h"], "left")
-    untouched = _filtered(keyed, bitmap, "__h", keep_others=True)
-    joined = touched.unionByName(untouched.withColumns({c: F.lit(None).cast(g.schema[c].dataType) for c in ("__gone", "__near")}))
+    touched = in_bitmap(keyed, bitmap, "h").join(g, ["v", "h"], "left").select("row", "gone", "near")
+    untouched = in_bitmap(keyed, bitmap, "h", others=True).select("row", *(F.lit(None).cast(g.schema[c].dataType).alias(c) for c in ("gone", "near")))
+    joined = touched.unionByName(untouched)
     lines = F.split(text, "\n")
-    removed = F.map_from_entries(F.transform("__gone", lambda p: F.struct(p, F.lit(True))))
+    removed = F.map_from_entries(F.transform("gone", lambda p: F.struct(p, F.lit(True))))
     kept = F.filter(lines, lambda x, i: ~F.map_contains_key(removed, i))
-    out = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_gone = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    counts = {"__lines": F.size(lines).cast("long"), "__repeated": n_gone - F.coalesce("__near", F.lit(0)), "__near": F.coalesce("__near", F.lit(0))}
-    return joined.withColumns({"__out": out, **counts}).withColumn(text_col, F.col("__out")).select(*df.columns, *counts)
+    row = F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField(text_col, F.array_join(kept, "\n")))
+    near = F.coalesce("near", F.lit(0))
+    return joined.select(row.alias("row"), F.size(lines).cast("long").alias("lines"), (F.coalesce(F.size("gone"), F.lit(0)).cast("long") - near).alias("repeated"), near.alias("near"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_repeated, n_near, n_chars and kept_sha256 of what is left of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return dedup_lines(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__repeated").alias("n_repeated"), F.col("__near").alias("n_near"), F.length(text).cast("long").alias("n_chars"), F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return dedup_lines(docs).select("row.doc_id", F.col("lines").alias("n_lines"), F.col("repeated").alias("n_repeated"), F.col("near").alias("n_near"), F.length(text).cast("long").alias("n_chars"), F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"))
 
 
 OP3_SQL = """

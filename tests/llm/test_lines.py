@@ -38,7 +38,7 @@ def brute(rows):
 
 def run(spark, rows):
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, pos int, words string")
-    return sorted(((r.doc_id, r.text or "", r["__repeated"], r["__near"]) for r in lines.dedup_lines(df).collect()), key=str)
+    return sorted(((r.row.doc_id, r.row.text or "", r.repeated, r.near) for r in lines.dedup_lines(df).collect()), key=str)
 
 
 def test_random_lines(spark):
@@ -66,6 +66,12 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_null_ids_come_first_and_names_may_clash(spark):
+    df = spark.createDataFrame([(-5, "a b c d e", 1, 2), (None, "a b c d e", 3, 4)], "doc_id long, text string, `__v` int, `gone` int")
+    got = sorted((tuple(r.row) for r in lines.dedup_lines(df).collect()), key=str)
+    assert got == [(-5, "", 1, 2), (None, "a b c d e", 3, 4)]
+
+
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")

@@ -43,8 +43,8 @@ from tessera.session import materialize
 
 LENGTH = 200
 KMER = 32
-SHARD_BYTES = 1 << 18
-STEPS = (21, 1)  # how far apart the windows of a cut shard start at most
+SHARD_BYTES = 1 << 20
+STEPS = (57, 19, 7, 1)  # how far apart the windows of a cut shard start at most
 RECURSE_NAMES = 512
 ARRAY_BYTES = 1 << 20
 SLICE_BYTES = 1 << 20
@@ -461,7 +461,9 @@ def repeated_in_shards(units: DataFrame, length: int = LENGTH, kmer: int = KMER,
     found = found.union(_arrays(distinct.join(still, "hash", "left_anti"), length))
     parts = distinct.join(still, "hash", "left_semi").withColumn("kmer", F.lit(kmer)).mapInArrow(_split(length, steps[0]), SPLIT)
     parts = materialize(parts, "suffix-parts")
-    inner = repeated_in_shards(parts.select("hash", "sid", "seg", "n"), length, kmer, shard_bytes, steps[1:])
+    # The windows of a part differ from each other, so one that shares its key with no other has no repeat.
+    shared = parts.groupBy("hash").agg(F.sum("n").alias("times")).where("times > 1").select("hash")
+    inner = repeated_in_shards(parts.join(shared, "hash", "left_semi").select("hash", "sid", "seg", "n"), length, kmer, shard_bytes, steps[1:])
     back = parts.select("sid", "parent", "off").join(inner, "sid").select(F.col("parent").alias("sid"), (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b"))
     return found.union(back)
 

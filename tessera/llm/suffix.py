@@ -20,9 +20,9 @@ need comparisons only where the characters before two neighbours differ, and
 drop by one from there. Windows with a common prefix of ``length`` or more are
 repeats.
 
-No shard outgrows a task. Copies in a shard of more than ``SHARD_BYTES`` are
-first put together, one row a distinct segment with their number. If the distinct
-ones are too many still, the shard is cut by longer keys (``STEPS``): windows
+No shard outgrows a task. Copies in a shard of more than ``COPIES_BYTES`` are
+first put together, one row a distinct segment with their number. Where the distinct
+ones are more than ``SHARD_BYTES``, the shard is cut by longer keys (``STEPS``): windows
 that start about as far before the shard's hashed string share more than that
 string, and the hash of all that they share names a smaller shard, which goes
 the same way. At the last step a shard holds one window.
@@ -43,6 +43,7 @@ from tessera.session import materialize
 
 LENGTH = 200
 KMER = 32
+COPIES_BYTES = 1 << 17
 SHARD_BYTES = 1 << 20
 STEPS = (57, 19, 7, 1)  # how far apart the windows of a cut shard start at most
 RECURSE_NAMES = 512
@@ -449,7 +450,7 @@ def _arrays(units: DataFrame, length: int) -> DataFrame:
 
 def repeated_in_shards(units: DataFrame, length: int = LENGTH, kmer: int = KMER, shard_bytes: int = SHARD_BYTES, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """sid, a, b: runs of windows of a segment that start elsewhere too. ``units``: hash, sid, seg, n, the same segment any number of times."""
-    crowded = _crowded(units, shard_bytes)
+    crowded = _crowded(units, min(COPIES_BYTES, shard_bytes))
     found = _arrays(units.join(crowded, "hash", "left_anti"), length)
     if crowded.isEmpty():
         return found

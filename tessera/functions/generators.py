@@ -1,25 +1,33 @@
-"""Seeded generators of nodes, links, graphs and payloads. They are tested by counts, bounds and moments, not values."""
+"""Seeded generators of nodes, links, graphs and payloads.
+
+Draws are MD5 digests of a seed and a row's key, so they are the same wherever a
+row is computed, and any SQL engine with MD5 can give them too.
+"""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.distributions import LINK_COUNTS, Distribution
 
 
+def key_of(*parts: str | Column) -> Column:
+    """One string of several columns."""
+    return F.concat_ws(":", *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts))
+
+
 def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from a key, the same wherever the row is computed."""
-    return F.xxhash64(F.lit(seed), key).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    """A number in [0, 1) from a key: the first 52 bits of a digest of seed and key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def id2_of(id1: Column, k: Column, n: int, seed: int = 3) -> Column:
     """The k-th target of id1 among 1 .. n, spread over the range without repeats while k < n."""
-    return F.pmod(F.xxhash64(F.lit(seed), id1).bitwiseAND(F.lit((1 << 31) - 1)) + k, F.lit(n)) + 1
+    return F.pmod(F.floor(uniform(id1, seed) * n).cast("long") + k, F.lit(n)) + 1
 
 
 def links(spark: SparkSession, n: int, mode: str = "reciprocal", k: int = 10, link_type: int = 1, seed: int = 3) -> DataFrame:
@@ -36,30 +44,36 @@ def choose_id2(id1: Column, u: Column, n_links: Column, n: int, p_existing: floa
 
 
 def payloads(df: DataFrame, key: str, size: str, seed: int = 5, motif: bytes | None = None, uniqueness: float = 1.0, low: int = 0, high: int = 256) -> DataFrame:
-    """``df`` with data: bytes drawn per row from its key, uniform or a motif of which a share is replaced by noise."""
-    from pyspark.sql import types as T
+    """``df`` with data: bytes from low to high - 1 drawn by the row's key, uniform, or a motif of which a share is replaced by noise.
+
+    Digests give sixteen bytes each; the share is taken in 256ths.
+    """
+
+    def stream(salt: str) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.col(size), F.lit(1)) - 1) / 16))
+        return F.array_join(F.transform(blocks, lambda b: F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), F.col(key).cast("string"), b.cast("string")))), "")
+
+    def byte(digits: Column, i: Column) -> Column:
+        return F.conv(F.substring(digits, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
-    schema = T.StructType([*df.schema.fields, T.StructField("data", T.BinaryType())])
+    def data(x: Column) -> Column:
+        def at(i: Column) -> Column:
+            noise = F.floor(byte(x["noise"], i) * (high - low) / 256).cast("int") + low
+            if motif is None:
+                return noise
+            return F.when(byte(x["choice"], i) < uniqueness * 256, noise).otherwise(F.element_at(F.array(*map(F.lit, motif)), (i % len(motif) + 1).cast("int")))
 
-    def rows(batches):
-        for pdf in batches:
-            out = []
-            for k, n in zip(pdf[key], pdf[size], strict=True):
-                rng = np.random.default_rng([seed, int(k)])
-                noise = rng.integers(low, high, int(n), dtype=np.uint16).astype(np.uint8)
-                if motif is not None:
-                    base = np.frombuffer((motif * (int(n) // len(motif) + 1))[: int(n)], np.uint8)
-                    noise = np.where(rng.random(int(n)) < uniqueness, noise, base)
-                out.append(noise.tobytes())
-            yield pdf.assign(data=pd.Series(out, index=pdf.index, dtype=object))
+        each = F.transform(F.sequence(F.lit(0), F.col(size).cast("int") - 1), lambda i: F.lpad(F.hex(at(i)), 2, "0"))
+        return F.unhex(F.array_join(each, ""))
 
-    return df.mapInPandas(rows, schema)
+    streams = F.array(F.struct(stream("n").alias("noise"), (F.lit("") if motif is None else stream("c")).alias("choice")))
+    return df.withColumn("data", F.when(F.col(size) > 0, F.get(F.transform(streams, data), 0)).otherwise(F.lit(b"")))
 
 
 def random_nodes(spark: SparkSession, n: int, attrs: int, width: int, distinct: Distribution, seed: int = 9) -> DataFrame:
     """node_id, attr_idx, attr: values are ranks of a distribution, written in ``width`` characters."""
     each = spark.range(n).select(F.col("id").alias("node_id"), F.explode(F.sequence(F.lit(0), F.lit(attrs - 1))).alias("attr_idx"))
-    rank = distinct.quantile(uniform(F.struct("node_id", "attr_idx"), seed))
+    rank = distinct.quantile(uniform(key_of("node_id", "attr_idx"), seed))
     return each.select("node_id", "attr_idx", F.lpad(rank.cast("string"), width, "0").alias("attr"))
 
 
@@ -74,8 +88,8 @@ def random_assocs(spark: SparkSession, n: int, nodes: int, atypes: int, t_max: i
 
 def assocs_in_lists(lists: DataFrame, share: float, nodes: int, t_max: int, seed: int = 17) -> DataFrame:
     """One new edge for about ``share`` of the existing lists (src, atype)."""
-    u = uniform(F.struct("src", "atype"), seed)
-    return lists.where(u < share).select("src", "atype", F.floor(uniform(F.struct("src", "atype"), seed + 1) * nodes).cast("long").alias("dst"), F.floor(uniform(F.struct("src", "atype"), seed + 2) * t_max).cast("long").alias("time"), F.lit("").alias("attr"))
+    u = uniform(key_of("src", "atype"), seed)
+    return lists.where(u < share).select("src", "atype", F.floor(uniform(key_of("src", "atype"), seed + 1) * nodes).cast("long").alias("dst"), F.floor(uniform(key_of("src", "atype"), seed + 2) * t_max).cast("long").alias("time"), F.lit("").alias("attr"))
 
 
 def augment_out_degree(edges: DataFrame, nodes: DataFrame, minimum: int, n: int, seed: int = 19) -> DataFrame:
@@ -111,7 +125,7 @@ def degree_graph(spark: SparkSession, degrees: DataFrame, seed: int = 29) -> Dat
     from tessera.operators.graph import number_rows
 
     stubs = degrees.where("degree > 0").select("node", F.explode(F.sequence(F.lit(1), F.col("degree").cast("int"))).alias("k"))
-    shuffled = number_rows(stubs.withColumn("u", uniform(F.struct("node", "k"), seed)), "u", 0, "p")
+    shuffled = number_rows(stubs.withColumn("u", uniform(key_of("node", "k"), seed)), "u", 0, "p")
     pairs = shuffled.groupBy(F.floor(F.col("p") / 2).alias("e")).agg(F.min("node").alias("i"), F.max("node").alias("j"), F.count("*").alias("n"))
     return pairs.where("n = 2 and i < j").select("i", "j").distinct()
 

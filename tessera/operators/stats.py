@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.generators import key_of, uniform
 from tessera.operators.graph import range_bucket
 
 #: Bucket edges in microseconds: 100 us steps below 1 ms, 1 ms steps below 100 ms, 100 ms steps below 1 s, 1 s steps below 10 s, then one bucket.
@@ -42,6 +43,7 @@ def bucket_bounds(bucket: Column) -> tuple[Column, Column]:
 
 def latency_summary(samples: DataFrame) -> DataFrame:
     """op, n, min, max, mean, p50, p95, p99 of the samples without error."""
+    # Spark's percentile aggregates counts of distinct values; latencies in whole microseconds have a bounded number of those.
     ok = samples.where(~F.col("error"))
     p = [F.percentile("latency_us", q / 100).alias(f"p{q}") for q in (50, 95, 99)]
     return ok.groupBy("op").agg(F.count("*").alias("n"), F.min("latency_us").alias("min_us"), F.max("latency_us").alias("max_us"), F.avg("latency_us").alias("mean_us"), *p)
@@ -74,9 +76,13 @@ def throughput(samples: DataFrame) -> DataFrame:
 
 
 def reservoir_sample(samples: DataFrame, size: int, seed: int = 7, by: str = "op") -> DataFrame:
-    """At most ``size`` rows of each group, drawn uniformly; Spark keeps only so many a group before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("__draw"))
-    return samples.withColumn("__draw", F.rand(seed)).withColumn("__rn", rank).where(F.col("__rn") <= size).drop("__draw", "__rn")
+    """At most ``size`` rows of each group, drawn uniformly; Spark keeps only so many a group before the shuffle.
+
+    A row's draw comes from its values, so it is the same in every run; rows that repeat each other are drawn together.
+    """
+    draw = uniform(key_of(*samples.columns), seed)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(draw))
+    return samples.withColumn("sample_rank", rank).where(F.col("sample_rank") <= size).drop("sample_rank")
 
 
 def phase_filter(samples: DataFrame, warm_up_us: int, measure_us: int) -> DataFrame:
@@ -87,13 +93,20 @@ def phase_filter(samples: DataFrame, warm_up_us: int, measure_us: int) -> DataFr
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """n, total, mean, stddev (n - 1), median, mode and the 90th percentile at index int(0.9 * (n - 1))."""
+    """n, total, mean, stddev (n - 1), median, low, high, mode and p90, the value at index int(0.9 * (n - 1)).
+
+    Order statistics come from counts of distinct values, summed by ranges, and not from a list of them in one task.
+    """
     x = F.col(column)
-    ranked = df.where(x.isNotNull()).agg(
-        F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"), F.percentile(x, 0.5).alias("median"),
-        F.min(x).alias("low"), F.max(x).alias("high"),
-    )
-    return ranked
+    plain = df.agg(F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("low"), F.max(x).alias("high"))
+    counts = df.where(x.isNotNull()).groupBy(x.alias("value")).agg(F.count("*").alias("n"))
+    upto = cumulative(counts, "value", "n").select("value", F.col("n").alias("times"), "upto")
+    at = lambda index: F.min(F.when(F.col("upto") > index, F.col("value")))
+    last = F.col("n") - 1
+    order = upto.join(F.broadcast(plain.select("n")), F.lit(True)).agg(
+        ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"), at(F.floor(F.lit(0.9) * last)).alias("p90"), F.max_by("value", F.struct("times", -F.col("value"))).alias("mode")
+    )
+    return plain.join(F.broadcast(order), F.lit(True)).select("n", "total", "mean", "stddev", "median", "mode", "p90", "low", "high")
 
 
 def ranked_percentile(df: DataFrame, column: str, p: float) -> DataFrame:

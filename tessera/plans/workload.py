@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.generators import uniform
+from tessera.functions.generators import key_of, uniform
 
 #: Percentages of the link-store mix, of the time-ordered read mix, and of the primitive mix.
 LINK_MIX = {"getlinklist": 50.71, "getnode": 12.93, "addlink": 8.99, "updatelink": 8.01, "updatenode": 7.37, "countlink": 4.89, "deletelink": 2.99, "addnode": 2.57, "deletenode": 1.01, "getlink": 0.53}
@@ -44,7 +44,7 @@ def blended_id(u_blend: Column, correlated: Column, uncorrelated: Column, share:
 def _drawn(df: DataFrame, n: int, key: Column, seed: int) -> DataFrame:
     """n rows in the order of seeded draws, numbered by req_id."""
     taken = df.withColumn("__u", uniform(key, seed)).orderBy("__u").limit(n)
-    return taken.withColumn("req_id", F.xxhash64(F.col("__u"), F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1))).drop("__u")
+    return taken.withColumn("req_id", F.floor(F.col("__u") * (1 << 52)).cast("long")).drop("__u")
 
 
 def list_requests(edges: DataFrame, n: int, seed: int = 43, max_degree: int | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def list_requests(edges: DataFrame, n: int, seed: int = 43, max_degree: int | No
     lists = edges.groupBy("src", "atype").agg(F.count("*").alias("n"))
     if max_degree is not None:
         lists = lists.where(F.col("n") <= max_degree)
-    return _drawn(lists.select("src", "atype"), n, F.struct("src", "atype"), seed)
+    return _drawn(lists.select("src", "atype"), n, key_of("src", "atype"), seed)
 
 
 def range_requests(edges: DataFrame, n: int, off: int = 0, length: int = 1000, seed: int = 43, max_degree: int | None = None) -> DataFrame:
@@ -70,18 +70,18 @@ def time_requests(edges: DataFrame, n: int, limit: int = 1000, seed: int = 47) -
 
 def get_requests(edges: DataFrame, n: int, seed: int = 53) -> DataFrame:
     """One edge that exists for each request, whatever its time, so that none is empty."""
-    some = _drawn(edges.select("src", "atype", "dst").distinct(), n, F.struct("src", "atype", "dst"), seed)
+    some = _drawn(edges.select("src", "atype", "dst").distinct(), n, key_of("src", "atype", "dst"), seed)
     return some.select("req_id", "src", "atype", F.array("dst").alias("dst_set"), F.lit(-(1 << 62)).alias("t_low"), F.lit(1 << 62).alias("t_high"))
 
 
 def node_requests(attrs: DataFrame, n: int, seed: int = 59) -> DataFrame:
     """attr_idx, key pairs that at least one node has."""
-    return _drawn(attrs.where("attr <> ''").select("attr_idx", F.col("attr").alias("key")).distinct(), n, F.struct("attr_idx", "key"), seed)
+    return _drawn(attrs.where("attr <> ''").select("attr_idx", F.col("attr").alias("key")).distinct(), n, key_of("attr_idx", "key"), seed)
 
 
 def neighbor_node_requests(edges: DataFrame, attrs: DataFrame, n: int, seed: int = 61) -> DataFrame:
     """src, attr_idx, key where some neighbour of src has the attribute."""
-    some = _drawn(edges.select("src", "dst").distinct(), n, F.struct("src", "dst"), seed)
+    some = _drawn(edges.select("src", "dst").distinct(), n, key_of("src", "dst"), seed)
     joined = some.join(attrs.where("attr <> ''"), some.dst == attrs.node_id)
     return joined.groupBy("req_id", "src").agg(F.min(F.struct("attr_idx", "attr")).alias("a")).select("req_id", "src", "a.attr_idx", F.col("a.attr").alias("key"))
 

@@ -6,9 +6,10 @@ replaces itself; what a reader sees is each batch once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.generators import uniform
 from tessera.session import scratch_path
 
 
@@ -59,10 +60,7 @@ def fresh(spark: SparkSession, name: str) -> tuple[str, str]:
 
 def arrival_times(spark: SparkSession, n: int, rate: float, seed: int = 11, chunks: int = 32) -> DataFrame:
     """i and at (seconds): Poisson arrivals; gaps are summed within ranges of i and then over ranges."""
-    from pyspark.sql import Window
-
-    gaps = spark.range(n).select(F.col("id").alias("i"), (-F.log(1 - F.rand(seed)) / rate).alias("gap"), F.floor(F.col("id") * chunks / max(n, 1)).alias("c"))
-    gaps = gaps.persist()  # draws must be the same in both uses
+    gaps = spark.range(n).select(F.col("id").alias("i"), (-F.log(1 - uniform(F.col("id"), seed)) / rate).alias("gap"), F.floor(F.col("id") * chunks / max(n, 1)).alias("c"))
     before = gaps.groupBy("c").agg(F.sum("gap").alias("s")).select("c", F.coalesce(F.sum("s").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("b"))
     own = F.sum("gap").over(Window.partitionBy("c").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return gaps.join(F.broadcast(before), "c").select("i", (own + F.col("b")).alias("at"))

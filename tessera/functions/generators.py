@@ -77,6 +77,15 @@ def random_nodes(spark: SparkSession, n: int, attrs: int, width: int, distinct:
     return each.select("node_id", "attr_idx", F.lpad(rank.cast("string"), width, "0").alias("attr"))
 
 
+def from_corpus(df: DataFrame, key: Column, corpus: DataFrame, by: str, value: str, seed: int = 10) -> DataFrame:
+    """``df`` with value: for each row one of the corpus's values, every row of it as likely as another. ``by`` orders the corpus."""
+    from tessera.operators.graph import number_rows
+
+    numbered = number_rows(corpus.select(by, value), by, 0, "corpus_row").select("corpus_row", value)
+    n = numbered.count()
+    return df.withColumn("corpus_row", F.floor(uniform(key, seed) * n).cast("long")).join(numbered, "corpus_row").drop("corpus_row")
+
+
 def random_assocs(spark: SparkSession, n: int, nodes: int, atypes: int, t_max: int, seed: int = 13) -> DataFrame:
     i = F.col("id")
 

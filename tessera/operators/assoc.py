@@ -73,6 +73,11 @@ def assoc_time_range(edges: DataFrame, src=None, atype=None, low=None, high=None
     return _slice(between(of_list(edges, src, atype), low, high), 0, limit)
 
 
+def by_time(edges: DataFrame, src=None, atype=None, low=None, high=None) -> DataFrame:
+    """All edges within the bounds in one order, newest first: sorted by ranges, so no task holds them all."""
+    return between(of_list(edges, src, atype), low, high).orderBy(F.desc("time"), "src", "atype", "dst", "attr").select(*EDGE)
+
+
 def assoc_lists(edges: DataFrame, src=None, atype=None) -> DataFrame:
     return of_list(edges, src, atype).select(*LIST).distinct()
 
@@ -108,7 +113,8 @@ def assoc_get_batch(edges: DataFrame, requests: DataFrame) -> DataFrame:
 
 def assoc_count_batch(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """req_id, n; a list without edges counts 0."""
-    counts = edges.groupBy(*LIST).agg(F.count("*").alias("n"))
+    # Only the requested lists are counted.
+    counts = edges.join(requests.select(*LIST).distinct(), LIST, "left_semi").groupBy(*LIST).agg(F.count("*").alias("n"))
     return requests.join(counts, LIST, "left").select("req_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -7,6 +7,8 @@ and counts leave it out. An upsert replaces every field and undoes hiding.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,14 @@ def operation(requests: DataFrame, op: str) -> DataFrame:
     return out.withColumns({c: F.lit(VISIBLE if c == "visibility" else None).cast(k) for c, k in kinds.items() if c not in out.columns}).select("seq", "op", *LINK)
 
 
+def of_keys(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """The log's rows of the requested keys: a few keys then cost no resolving of the whole log."""
+    return log.join(requests.select(*KEY).distinct(), KEY, "left_semi")
+
+
 def add_link(log: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The log with upserts, and for each request whether its key is new."""
-    known = resolve(log).select(*KEY, F.lit(True).alias("found"))
+    known = resolve(of_keys(log, requests)).select(*KEY, F.lit(True).alias("found"))
     answer = requests.select("seq", *KEY).join(known, KEY, "left").select("seq", *KEY, F.col("found").isNull().alias("added"))
     return log.unionByName(operation(requests, "A")), answer
 
@@ -127,6 +134,26 @@ def delete_nodes(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     return nodes.join(keys.select("id", "type").distinct(), ["id", "type"], "left_anti")
 
 
-def reset_nodes(nodes: DataFrame) -> DataFrame:
-    """An empty generation of the node table."""
-    return nodes.limit(0)
+@dataclass
+class NodeStore:
+    """Nodes and the id that the next one gets."""
+
+    nodes: DataFrame
+    next_id: int
+
+    def reset(self, start_id: int) -> NodeStore:
+        """An empty store whose ids count from ``start_id``."""
+        return NodeStore(self.nodes.limit(0), start_id)
+
+    def add(self, more: DataFrame, order: str = "order") -> NodeStore:
+        """With new nodes in the given order; their number moves the next id on."""
+        return NodeStore(add_nodes(self.nodes, more, self.next_id, order), self.next_id + more.count())
+
+
+#: How many links a loader is asked to hand over at once.
+BULK_LOAD_BATCH = 1024
+
+
+def add_bulk_counts(counts: DataFrame, more: DataFrame) -> DataFrame:
+    """A count table (id, link_type, count, time, version) with a batch of counts; one that is there is replaced."""
+    return counts.join(more.select("id", "link_type").distinct(), ["id", "link_type"], "left_anti").select(*counts.columns).unionByName(more.select(*counts.columns))

@@ -256,7 +256,7 @@ add("throughput", lambda s, d: _rounded(stats.throughput(samples(s, d)), "second
 add("phase_filter", lambda s, d: stats.phase_filter(samples(s, d), 10**12, 10**12), f"{_S} SELECT thread, op, ts, latency_us, error FROM samples WHERE ts - (SELECT min(ts) FROM samples) >= 1000000000000 AND ts - (SELECT min(ts) FROM samples) < 2000000000000")
 add("freq_cdf", lambda s, d: _rounded(stats.freq_cdf(samples(s, d).withColumn("v", F.floor(F.col("latency_us") / 1000)), "v"), "cdf", digits=9), f"{_S} SELECT value, n, round(sum(n) OVER (ORDER BY value) / sum(n) OVER (), 9) AS cdf FROM (SELECT latency_us // 1000 AS value, count(*) AS n FROM samples GROUP BY 1)")
 add("time_weighted_avg", lambda s, d: _rounded(stats.time_weighted_avg(table(s, d, "events").select("user_id", "event_id", micros("ts").alias("ts"), F.floor("value").alias("v")), "user_id", "ts", "v", "event_id"), "average"), "SELECT user_id, round(CASE WHEN sum(dt) > 0 THEN sum(v * dt) / sum(dt) END, 6) AS average FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS v, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts) AS dt FROM events) WHERE dt IS NOT NULL GROUP BY user_id")
-add("stat_describe", lambda s, d: _rounded(stats.describe(table(s, d, "part"), "p_size").select("n", F.col("total").cast("long").alias("total"), "mean", "stddev", "median", "low", "high"), "mean", "stddev", "median"), "SELECT count(p_size) AS n, CAST(sum(p_size) AS BIGINT) AS total, round(avg(p_size), 6) AS mean, round(stddev_samp(p_size), 6) AS stddev, round(quantile_cont(p_size, 0.5), 6) AS median, min(p_size) AS low, max(p_size) AS high FROM part")
+add("stat_describe", lambda s, d: _rounded(stats.describe(table(s, d, "part"), "p_size").select("n", F.col("total").cast("long").alias("total"), "mean", "stddev", "median", "mode", "p90", "low", "high"), "mean", "stddev", "median"), "SELECT (SELECT p_size FROM part GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1) AS mode, (SELECT p_size FROM (SELECT p_size, row_number() OVER (ORDER BY p_size) - 1 AS i, count(*) OVER () AS n FROM part) WHERE i = CAST(floor(0.9 * (n - 1)) AS BIGINT)) AS p90, count(p_size) AS n, CAST(sum(p_size) AS BIGINT) AS total, round(avg(p_size), 6) AS mean, round(stddev_samp(p_size), 6) AS stddev, round(quantile_cont(p_size, 0.5), 6) AS median, min(p_size) AS low, max(p_size) AS high FROM part")
 add("stat_percentile", lambda s, d: stats.ranked_percentile(table(s, d, "part"), "p_size", 0.9), "SELECT p_size AS value FROM (SELECT p_size, row_number() OVER (ORDER BY p_size) - 1 AS i, count(*) OVER () AS n FROM part) WHERE i = CAST(floor(0.9 * (n - 1)) AS BIGINT)")
 add("stat_mode", lambda s, d: stats.mode(table(s, d, "part"), "p_size"), "SELECT n, min(value) AS value FROM (SELECT p_size AS value, count(*) AS n FROM part GROUP BY 1) GROUP BY n ORDER BY n DESC LIMIT 1")
 add("stat_correlation", lambda s, d: _rounded(stats.correlation(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"), "correlation"), "SELECT round(abs(corr(l_quantity, l_extendedprice)), 6) AS correlation FROM lineitem")
@@ -280,7 +280,7 @@ def _i():
 add("fn_num_digits", lambda s, d: _ids(s).select("i", fn.num_digits(-_i() * _i()).alias("digits")), f"SELECT i, CAST(length(CAST(i * i AS STRING)) AS BIGINT) AS digits FROM {_I}")
 add("fn_pad", lambda s, d: _ids(s).select("i", fn.pad(_i(), 5).alias("padded"), fn.unpad(fn.pad(_i(), 5)).alias("back")), f"SELECT i, lpad(CAST(i AS STRING), 5, '0') AS padded, i AS back FROM {_I}")
 add("fn_decode_multi", lambda s, d: _ids(s).select("i", F.posexplode(fn.decode_multi(F.concat(fn.pad(_i(), 4), fn.pad(_i() + 1, 4), fn.pad(_i() * 3, 4)), 4)).alias("pos", "value")), f"SELECT i, CAST(p AS INTEGER) AS pos, CAST(CASE p WHEN 0 THEN i WHEN 1 THEN i + 1 ELSE i * 3 END AS BIGINT) AS value FROM {_I}, (VALUES (0), (1), (2)) v(p)")
-add("fn_base64int", lambda s, d: _ids(s).select("i", fn.base64_int(_i() * 7919).alias("digits"), fn.base64_int_decode(fn.base64_int(_i() * 7919)).alias("back")))
+add("fn_base64int", lambda s, d: _ids(s).select("i", fn.base64_int(_i() * 7919).alias("digits"), fn.base64_int_decode(fn.base64_int(_i() * 7919)).alias("back")), f"SELECT i, CASE WHEN i = 0 THEN '0' ELSE ltrim(list_aggregate(list_transform([24, 18, 12, 6, 0], lambda k: substr('{fn.ALPHABET}', CAST(((i * 7919) >> k) & 63 AS BIGINT) + 1, 1)), 'string_agg', ''), '0') END AS digits, i * 7919 AS back FROM {_I}")
 add("fn_format_attrs", lambda s, d: _ids(s).select("i", fn.length_header(F.array(_i().cast("string"), F.lit("x")), ",").alias("line"), F.size(fn.split_attrs(fn.format_attrs(F.array(_i().cast("string"), F.lit("")), ","), ",")).cast("long").alias("n")), f"SELECT i, length(CAST(i AS STRING)) || ',1,' || i || ',x' AS line, CAST(2 AS BIGINT) AS n FROM {_I}")
 add("fn_fix_width", lambda s, d: table(s, d, "part").select("p_partkey", fn.fix_width(F.col("p_name"), 9).alias("fixed")), "SELECT p_partkey, rpad(substr(p_name, 1, 9), 9, '|') AS fixed FROM part")
 add("fn_shard", lambda s, d: _ids(s).select("i", fn.shard(_i(), 40).alias("shard"), fn.host(_i(), 40, 10).alias("host")), f"SELECT i, i % 40 AS shard, i % 40 % 10 AS host FROM {_I}")
@@ -359,6 +359,7 @@ def _stream_last(s, d):
 
 add("stream_last_writer", _stream_last, f"WITH {_LOG} SELECT id1, link_type, id2, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(time, seq) AS time, arg_max(data, seq) AS data FROM log GROUP BY id1, link_type, id2")
 
-from tessera.plans import generated  # noqa: E402
+from tessera.plans import generated, more  # noqa: E402
 
 generated.register(add)
+more.register(add)

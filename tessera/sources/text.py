@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOT_BASE = 1  # per-slot delimiters start at this code point
@@ -24,9 +24,17 @@ def read_edge_list(spark: SparkSession, path: str, sep: str = " ", comment: str
 
 
 def read_nodes_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
-    """node_id by line within one file, counted from 0, and attrs."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("node_id", "line"))
-    return lines.select(F.col("node_id").cast("long").alias("node_id"), F.slice(F.split("line", ","), 1, columns).alias("attrs"))
+    """node_id by line within one file, counted from 0, and attrs.
+
+    Blocks of a file are read apart: a line's number is its place in its block
+    and the lines of the blocks before it, of which there is one row a block.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    numbered = lines.withColumn("rank", rank).join(blocks, ["file", "block"])
+    return numbered.select((F.col("rank") - 1 + F.col("before")).cast("long").alias("node_id"), F.slice(F.split("value", ","), 1, columns).alias("attrs"))
 
 
 def write_nodes_csv(nodes: DataFrame, path: str) -> None:
@@ -110,3 +118,22 @@ def read_properties(spark: SparkSession, path: str) -> dict[str, str]:
             key, value = line.split("=", 1)
             out[key.strip()] = value.strip()
     return out
+
+
+def write_stats_csv(stats: DataFrame, path: str) -> None:
+    """A table of statistics as CSV with a header."""
+    stats.write.mode("overwrite").csv(path, header=True)
+
+
+def read_stats_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+def write_shards(df: DataFrame, path: str, key: str, shards: int) -> None:
+    """A folder for each shard of the key; every shard is written by one task or more, never all by one."""
+    df.withColumn("shard", F.pmod(F.col(key), F.lit(shards))).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def coalesce_shards(df: DataFrame, parts: int) -> DataFrame:
+    """Neighbouring parts put together to ``parts`` at most, without a shuffle."""
+    return df.coalesce(parts)

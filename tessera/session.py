@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,12 +27,15 @@ def get_spark(app: str = "tessera", cpus: int | str = "*", partitions: int = 8)
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder is used.
+    Only where that is unset in a local session, as in tests, a temporary folder
+    is used; on a cluster no machine's own folder would do, so that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

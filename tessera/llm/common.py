@@ -79,3 +79,35 @@ def in_bitmap(df: DataFrame, bitmap: DataFrame, key: str, others: bool = False)
     joined = df.join(F.broadcast(b), (at / _ROW_BITS).cast("int") == F.col("__bitmap_bucket"), "left")
     may = F.coalesce(F.getbit(F.get("__bitmap_words", (at % _ROW_BITS / 64).cast("int")), (at % 64).cast("int")) == 1, F.lit(False))
     return joined.where(~may if others else may).drop("__bitmap_bucket", "__bitmap_words")
+
+
+def may_be_in(df: DataFrame, bitmap: DataFrame, key: Column, *more: Column) -> DataFrame:
+    """``row`` (the caller's row), ``may``: whether its hashed key may be in the bitmap; and ``more`` columns."""
+    boxes = boxed(df, F.pmod(key, F.lit(BITMAP_BITS)).alias("at"), *more).alias("l")
+    joined = boxes.join(F.broadcast(bitmap.alias("b")), (F.col("l.at") / _ROW_BITS).cast("int") == F.col("b.bucket"), "left")
+    bit = F.getbit(F.get("b.words", (F.col("l.at") % _ROW_BITS / 64).cast("int")), (F.col("l.at") % 64).cast("int"))
+    return joined.select("l.*", F.coalesce(bit == 1, F.lit(False)).alias("may")).drop("at")
+
+
+HOT_ROWS = 16  # rows of one key for each shuffle partition
+
+
+def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join by a key that any share of ``many`` may hold.
+
+    Keys with more than ``HOT_ROWS`` rows of ``many`` a shuffle partition are
+    dealt over that many salts, and their rows of ``few`` are repeated for each:
+    a sixteenth as many at most as those of ``many``, for each of the key's own
+    in ``few``. A bitmap of 8 MB says on both sides which keys these are; a key
+    that it names wrongly is only dealt needlessly.
+    """
+    salts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = F.xxhash64(F.col(key))
+    hot = many.groupBy(key).count().where(F.col("count") > HOT_ROWS * salts).select(hashed.alias("k"))
+    bitmap = bitmap_of(hot, "k")
+    salt = F.when(F.col("may"), F.pmod(F.xxhash64("row"), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    left = may_be_in(many, bitmap, hashed, F.col(key).alias("key")).select("row", "key", salt.alias("salt")).alias("l")
+    every = F.when(F.col("may"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = may_be_in(few, bitmap, hashed, F.col(key).alias("key")).select("row", "key", F.explode(every).alias("salt")).alias("r")
+    others = [F.col("r.row")[c].alias(c) for c in few.columns if c != key]
+    return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt"))).select("l.row.*", *others)

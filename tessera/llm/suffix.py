@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_and_text, slices, small_batches, text_key
+from tessera.llm.common import id_and_text, join_hot, slices, small_batches, text_key
 from tessera.session import materialize
 
 LENGTH = 200
@@ -465,7 +465,7 @@ def repeated_in_shards(units: DataFrame, length: int = LENGTH, kmer: int = KMER,
     # The windows of a part differ from each other, so one that shares its key with no other has no repeat.
     shared = parts.groupBy("hash").agg(F.sum("n").alias("times")).where("times > 1").select("hash")
     inner = repeated_in_shards(parts.join(shared, "hash", "left_semi").select("hash", "sid", "seg", "n"), length, kmer, shard_bytes, steps[1:])
-    back = parts.select("sid", "parent", "off").join(inner, "sid").select(F.col("parent").alias("sid"), (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b"))
+    back = join_hot(parts.select("sid", "parent", "off"), inner, "sid").select(F.col("parent").alias("sid"), (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b"))
     return found.union(back)
 
 
@@ -515,7 +515,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with_texts = packed.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h"))).select("d.doc_id", "d.h", "d.z", "c.found")
     cut = materialize(with_texts.mapInArrow(_cut(length), SEGMENT), "suffix-segments")
     flagged = repeated_in_shards(cut.where("seg is not null").select("hash", "sid", "seg", "n"), length, kmer, shard_bytes).distinct()
-    found = cut.select("sid", "doc_id", "h", "at").join(flagged, "sid").select("doc_id", "h", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    found = join_hot(cut.select("sid", "doc_id", "h", "at"), flagged, "sid").select("doc_id", "h", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     by_doc = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("found"))
     joined = packed.alias("d").join(by_doc.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left").select("d.doc_id", "d.z", "f.found")
     return joined.mapInArrow(_keep(length), KEPT)

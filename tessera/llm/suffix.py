@@ -21,8 +21,8 @@ drop by one from there. Windows with a common prefix of ``length`` or more are
 repeats.
 
 No shard outgrows a task. Copies in a shard of more than ``COPIES_BYTES`` are
-first put together, one row a distinct segment with their number. Where the distinct
-ones are more than ``SHARD_BYTES``, the shard is cut by longer keys (``STEPS``): windows
+first put together, one row a distinct segment, which only says whether there were
+several. Where the distinct ones are more than ``SHARD_BYTES``, the shard is cut by longer keys (``STEPS``): windows
 that start about as far before the shard's hashed string share more than that
 string, and the hash of all that they share names a smaller shard, which goes
 the same way. At the last step a shard holds one window.
@@ -455,7 +455,7 @@ def repeated_in_shards(units: DataFrame, length: int = LENGTH, kmer: int = KMER,
     if crowded.isEmpty():
         return found
     # Copies meet in a partial aggregate before any shuffle.
-    distinct = materialize(units.join(crowded, "hash", "left_semi").groupBy("hash", "sid").agg(F.first("seg").alias("seg"), F.sum("n").cast("int").alias("n")), "suffix-distinct")
+    distinct = materialize(units.join(crowded, "hash", "left_semi").groupBy("hash", "sid").agg(F.first("seg").alias("seg"), F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")), "suffix-distinct")
     still = _crowded(distinct, shard_bytes) if steps else None
     if still is None or still.isEmpty():
         return found.union(_arrays(distinct, length))

@@ -89,7 +89,7 @@ def may_be_in(df: DataFrame, bitmap: DataFrame, key: Column, *more: Column) -> D
     return joined.select("l.*", F.coalesce(bit == 1, F.lit(False)).alias("may")).drop("at")
 
 
-HOT_ROWS = 16  # rows of one key for each shuffle partition
+HOT_ROWS = 4  # rows of one key for each shuffle partition
 
 
 def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
@@ -97,7 +97,7 @@ def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
 
     Keys with more than ``HOT_ROWS`` rows of ``many`` a shuffle partition are
     dealt over that many salts, and their rows of ``few`` are repeated for each:
-    a sixteenth as many at most as those of ``many``, for each of the key's own
+    a fourth as many at most as those of ``many``, for each of the key's own
     in ``few``. A bitmap of 8 MB says on both sides which keys these are; a key
     that it names wrongly is only dealt needlessly.
     """

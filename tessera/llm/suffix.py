@@ -21,11 +21,13 @@ drop by one from there. Windows with a common prefix of ``length`` or more are
 repeats.
 
 No shard outgrows a task. Copies in a shard of more than ``COPIES_BYTES`` are
-first put together, one row a distinct segment, which only says whether there were
-several. Where the distinct ones are more than ``SHARD_BYTES``, the shard is cut by longer keys (``STEPS``): windows
-that start about as far before the shard's hashed string share more than that
-string, and the hash of all that they share names a smaller shard, which goes
-the same way. At the last step a shard holds one window.
+first put together, one row a distinct segment, which only says whether there
+were several. Where the distinct ones are more than ``SHARD_BYTES``, the shard
+is cut by longer keys (``STEPS``): windows that start about as far before the
+shard's hashed string share more than that string, and the hash of all that
+they share names a smaller shard, which goes the same way. At the last step a
+shard holds one window. Joins back to segments and texts deal frequent segments
+over salts.
 """
 
 from __future__ import annotations

@@ -130,10 +130,18 @@ def read_stats_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: int) -> None:
-    """A folder for each shard of the key; every shard is written by one task or more, never all by one."""
-    df.withColumn("shard", F.pmod(F.col(key), F.lit(shards))).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """A folder for each shard of the key; shards may be of any size.
+
+    Writing folders sorts a task's rows by shard. Adaptive execution cuts a large
+    shard into tasks of its advisory size and puts small ones together, so that
+    no task's rows grow with the table.
+    """
+    df.withColumn("shard", F.pmod(F.col(key), F.lit(shards))).hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+PART_ROWS = 4 << 20
 
 
-def coalesce_shards(df: DataFrame, parts: int) -> DataFrame:
-    """Neighbouring parts put together to ``parts`` at most, without a shuffle."""
-    return df.coalesce(parts)
+def coalesce_shards(df: DataFrame, parts: int, rows: int = PART_ROWS) -> DataFrame:
+    """Neighbouring parts put together without a shuffle, to ``parts`` or to as many as leave each about ``rows`` rows at most."""
+    return df.coalesce(max(parts, -(-df.count() // rows)))

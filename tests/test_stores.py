@@ -1,5 +1,7 @@
 """Key-value logs, node stores and node files."""
 
+from pyspark.sql import functions as F
+
 from tessera.operators import assoc, kv, links
 from tessera.sources import text
 
@@ -38,3 +40,27 @@ def test_whole_result_by_time(spark):
     rows = [(1, 0, 5, 10, ""), (2, 1, 6, 30, ""), (1, 1, 7, 20, ""), (1, 0, 4, 30, "")]
     edges = spark.createDataFrame(rows, "src long, atype long, dst long, time long, attr string")
     assert [(r.time, r.src) for r in assoc.by_time(edges, low=11).collect()] == [(30, 1), (30, 2), (20, 1)]
+
+
+def test_a_large_shard_is_dealt_over_tasks(spark, tmp_path):
+    path, name = str(tmp_path / "shards"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        # All but 100 rows are in shard 1.
+        df = spark.range(0, 400_000, 1, 16).select(F.when(F.col("id") < 100, F.col("id") * 4).otherwise(F.col("id") * 4 + 1).alias("src"))
+        text.write_shards(df, path, "src", 4)
+    finally:
+        spark.conf.set(name, before)
+    back = spark.read.parquet(path)
+    assert sorted(back.groupBy("shard").count().collect()) == [(0, 100), (1, 399_900)]
+    assert back.distinct().count() == 400_000 and back.where("shard != src % 4").count() == 0
+    files = back.groupBy(F.input_file_name().alias("file"), "shard").count().where("shard = 1").collect()
+    assert len(files) > 4 and max(r["count"] for r in files) < 100_000
+
+
+def test_parts_of_shards_have_a_bound_of_rows(spark):
+    df = spark.range(0, 10_000, 1, 50)
+    small, large = text.coalesce_shards(df, 3), text.coalesce_shards(df, 3, 1000)
+    assert small.rdd.getNumPartitions() == 3 and large.rdd.getNumPartitions() == 10
+    assert sorted(r.id for r in large.collect()) == list(range(10_000))

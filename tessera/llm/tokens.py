@@ -40,7 +40,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 MEMO_BYTES = 64 << 20  # of each of a worker's two memos
 ENTRY_BYTES = 150  # what Python adds to a memo's entry, besides its characters and ids
-SLICE_BYTES = 3 << 19
+SLICE_BYTES = 3 << 20
 
 #: Parquet settings: 16 MB row groups and 256 KB pages hold index entries fine enough to skip by; version 2 pages delta-encode the counts.
 FILE_OPTIONS = {
@@ -68,15 +68,27 @@ _UNSAFE = rf"{_SPACE} (?:{_SPACE}|\z)"
 
 
 class _Memo(dict):
-    """Ids by chunk; takes in no more once its bound of bytes is reached."""
+    """Ids by chunk; takes in no more once its bound of bytes is reached.
+
+    A chunk is kept when it comes a second time, since most of them come once.
+    ``met`` marks chunks by hash; two that share a mark are only kept sooner.
+    """
 
     def __init__(self, limit: int):
         self.room = limit
+        self.met = bytearray(limit // 16 + 1)
 
     def keep(self, found: dict[str, bytes]) -> None:
         if self.room > 0:
-            self.room -= sum(len(c) + len(x) for c, x in found.items()) + ENTRY_BYTES * len(found)
-            self.update(found)
+            met, n, again = self.met, len(self.met), []
+            for c in found:
+                at = hash(c) % n
+                if met[at]:
+                    again.append(c)
+                else:
+                    met[at] = 1
+            self.room -= sum([len(c) + len(found[c]) for c in again]) + ENTRY_BYTES * len(again)
+            self.update([(c, found[c]) for c in again])
 
 
 class ChunkEncoder:
@@ -130,7 +142,8 @@ class ChunkEncoder:
         a letter are always words of their own, so chunks are resolved by what
         lies between those, which recurs far more often.
         """
-        out, plans, opaque = {}, [], []
+        memo, own, marks = self.memo, self.bare, self.marks
+        ended, plans, opaque, others = [], [], [], []
         spaced: set[str] = set()
         bare: set[str] = set()
         for c in chunks:
@@ -138,19 +151,23 @@ class ChunkEncoder:
                 spaced.add(c)
             elif c[-1:] in (",", ".") and c[:-1].isalpha():
                 spaced.add(c[:-1])
-                plans.append((c, [(c[:-1], c[-1])]))
+                ended.append(c)
             else:
-                lines = c.split("\n")
-                if not all([x and not x[0].isspace() and not x[-1].isspace() for x in lines]):
-                    opaque.append(c)
-                    continue
-                plan = [(x[:-1], x[-1]) if len(x) > 1 and x[-1] in ",." and x[-2].isalpha() else (x, "") for x in lines]
-                spaced.add(plan[0][0])
+                others.append(c)
+        for c in others:
+            lines = c.split("\n")
+            if not all([x and not x[0].isspace() and not x[-1].isspace() for x in lines]):
+                opaque.append(c)
+                continue
+            plan = [(x[:-1], x[-1]) if len(x) > 1 and x[-1] in ",." and x[-2].isalpha() else (x, "") for x in lines]
+            spaced.add(plan[0][0])
+            if len(plan) > 1:
                 bare.update([core for core, _ in plan[1:]])
+            if plan[0][0] != c:
                 plans.append((c, plan))
-        memo, own, marks = self.memo, self.bare, self.marks
         fresh = self._learn(memo, spaced, " ", self.starts)
         fresh_bare = self._learn(own, bare, "\n", self.feeds)
+        out = {c: (memo.get(c[:-1]) or fresh[c[:-1]]) + marks[c[-1]] for c in ended}
         for c, plan in plans:
             core, tail = plan[0]
             ids = (memo.get(core) or fresh[core]) + marks[tail]
@@ -158,7 +175,8 @@ class ChunkEncoder:
                 ids += marks["\n"] + (own.get(core) or fresh_bare[core]) + marks[tail]
             out[c] = ids
         out.update(zip(opaque, self._direct([" " + c for c in opaque]), strict=True))
-        memo.keep({c: x for c, x in out.items() if c not in memo and "\n" not in c})
+        if memo.room > 0:
+            memo.keep({c: x for c, x in out.items() if "\n" not in c})
         out.update(fresh)
         return out
 
@@ -197,12 +215,10 @@ class ChunkEncoder:
             which = np.insert(which, np.append(heads[1:], len(which)), len(ids) + len(first))
             heads = heads + np.arange(len(heads))
         ids += [*first, b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        each = sizes[which]
-        ends = np.cumsum(each)
-        values = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + each, each) + np.arange(ends[-1])]
-        return values, np.append((ends - each)[heads], ends[-1])
+        runs = pa.array(ids, pa.large_binary()).take(pa.array(which))
+        _, ends, flat = runs.buffers()
+        at = np.frombuffer(ends, np.int64, len(which) + 1) // 4
+        return np.frombuffer(flat, "<u4", at[-1]), at[np.append(heads, len(which))]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

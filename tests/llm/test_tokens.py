@@ -63,6 +63,19 @@ def test_memo_keeps_to_its_bound():
     assert e.memo.room <= 0 and len(e.memo) * tokens.ENTRY_BYTES < 300_000
 
 
+def test_memo_has_room_for_words_that_recur():
+    e = tokens.ChunkEncoder(memo_bytes=200_000)
+    for k in range(40):  # words that come once don't fill it
+        e.encode(pa.array([" ".join(f"w{k}x{i}" for i in range(100))]))
+    late = [f"late{i}" for i in range(200)]
+    texts = ["x " + " ".join(late), "x " + ", ".join(late) + ".\nNext\nlate1, late2", "late1.\nlate2 end"]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(3):  # met first, kept, and from the memo
+        ids, at = e.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == want
+    assert e.memo.room > 0 and all(x in e.memo for x in late)
+
+
 def test_files_allow_selective_reads(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(30_000).selectExpr("id AS doc_id", "concat('doc ', id, repeat(' word', 20)) AS text")

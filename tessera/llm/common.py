@@ -60,11 +60,11 @@ def boxed(df: DataFrame, *more: Column) -> DataFrame:
 
 
 BITMAP_BITS = 1 << 26
-_ROW_BITS = 1 << 15
+_ROW_BITS = 1 << 12
 
 
 def bitmap_of(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of hashed keys as 512 longs a row: BITMAP_BITS bits at most, so 8 MB, however many keys there are."""
+    """A bitmap of hashed keys as 64 longs a row: BITMAP_BITS bits at most, so 8 MB, however many keys there are."""
     at = F.pmod(F.col(key), F.lit(BITMAP_BITS))
     words = keys.select((at / _ROW_BITS).cast("int").alias("bucket"), (at % _ROW_BITS / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bits"))
     words = words.groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))

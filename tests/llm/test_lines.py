@@ -72,6 +72,39 @@ def test_null_ids_come_first_and_names_may_clash(spark):
     assert got == [(-5, "", 1, 2), (None, "a b c d e", 3, 4)]
 
 
+def test_edits_at_every_place_of_short_and_long_lines(spark):
+    rng = random.Random(9)
+    rows = []
+    for n in (5, 6, 15, 16, 17, 32, 33, 300):
+        for letters in ("ab", "abcdefgh"):
+            for edit in (lambda w, i: w.pop(i), lambda w, i: w.insert(i, "x"), lambda w, i: w.__setitem__(i, "x")):
+                for i in {0, 1, (n - 1) // 2, n // 2, min(16, n - 1), n - 1}:
+                    w = [f"{n}{letters}", *rng.choices(letters, k=n - 1)]
+                    pair = [w, list(w)]
+                    edit(pair[1], i)
+                    rng.shuffle(pair)
+                    rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate(pair)]
+    want = sorted(brute(rows), key=str)
+    assert run(spark, rows) == want
+    assert sum(r[3] for r in want) > len(rows) / 3
+    assert run(spark, rows + rows) == sorted(want + want, key=str)
+
+
+def test_variants_only_where_an_edit_can_lie(spark, monkeypatch):
+    made, materialize = {}, lines.materialize
+
+    def counting(df, name):
+        made[name] = materialize(df, name)
+        return made[name]
+
+    monkeypatch.setattr(lines, "materialize", counting)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:39], "x"])), (3, " ".join(words[:20] + ["y"] * 20)), (4, "a line of its own\nanother one that shares nothing")]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+    # Three lines of one length share their first 19 words: one variant for each of the 21 other places, none for other lengths.
+    assert made["line-variants"].count() == 3 * 21
+
+
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")

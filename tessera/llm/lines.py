@@ -5,7 +5,7 @@ of words. A line goes if an earlier line, by (document id, text hash, position),
 has the same words, or differs by one inserted, deleted or replaced word while
 both have ``MIN_WORDS`` words or more, which makes them similar to 0.8 at least.
 
-Every line emits a hashed key for each variant with one word deleted, and one
+A line emits a hashed key for each variant with one word deleted, and one
 for itself. Lines of equal length that share the variant without the word at one
 position differ at most there; a line that equals a variant of another differs
 by the deleted word. So it is enough to know the earliest line of each key: no
@@ -13,8 +13,9 @@ pairs are made, and a frequent key meets in a partial aggregate.
 
 Variants are emitted for distinct lines only, and of those for the ones that can
 have a partner: two lines one edit apart share all words before the middle of
-the longer one or all after it, so lines whose halves occur once are done. What
-remains is verified word by word against the earlier line.
+the longer one or all after it, so lines whose halves occur once are done. Words
+are deleted only on the side that isn't shared, and keys made only for lengths
+that share the other. What remains is verified word by word against the earlier line.
 """
 
 from __future__ import annotations
